@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, language, quality, simhash, token_counts
+from . import bpe, chat, html_text, language, quality, simhash, substrings, token_counts
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -41,6 +41,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_near_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
+        "op8_substrings": op8_substrings,
         "op9_bpe": op9_bpe,
         "op10_chat": op10_chat,
     }
@@ -65,5 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_substrings": substrings.ORACLE,
         "op10_chat": chat.ORACLE,
     }
