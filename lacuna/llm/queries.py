@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, language, quality, simhash, substrings, token_counts
+from . import bpe, chat, html_text, language, phrases, quality, simhash, substrings, token_counts
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.learn(docs))
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
         "op2_quality": op2_quality,
+        "op3_phrases": op3_phrases,
         "op4_language": op4_language,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
