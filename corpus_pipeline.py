@@ -1,7 +1,70 @@
-"""A corpus pipeline of the operators in ``lacuna.llm``."""
+"""A corpus pipeline of the operators in ``lacuna.llm``.
 
+Language ID, SimHash near-dedup, substring dedup, benchmark decontamination and
+BPE encoding. Each stage takes all that the one before kept.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lacuna.llm import bpe, decontaminate, language, simhash, substrings
+from lacuna.llm.common import table
+from lacuna.llm.graph import cut
+
+#: The stages hold custom operators that SQL cannot express.
 ORACLE_SQL = None
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A language with a lower score than this is not believed.
+LEAST_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; ``lang`` becomes the predicted one."""
+    found = language.identify(docs, language.learn(docs), keep=["text", "source", "n_chars"])
+    known = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return known.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least id. Rows without an id stay."""
+    groups = simhash.group_near_copies(docs)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has too."""
+    left = substrings.dedup(docs, keep=["lang", "source"], with_text=True)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document left."""
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("substrings", cut_repeats),
+    ("benchmark", drop_benchmark),
+    ("bpe", encode),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("stages follow")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what a stage keeps is written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents").select(COLUMNS)
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, language, phrases, quality, simhash, substrings, token_counts
+from . import bpe, chat, decontaminate, html_text, language, phrases, quality, simhash, substrings, token_counts
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -45,6 +45,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_near_copies(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of documents and benchmark items found."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
+        "op7_decontaminate": op7_decontaminate,
         "op8_substrings": op8_substrings,
         "op9_bpe": op9_bpe,
         "op10_chat": op10_chat,
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_decontaminate": decontaminate.oracle(),
         "op8_substrings": substrings.ORACLE,
         "op10_chat": chat.ORACLE,
     }
