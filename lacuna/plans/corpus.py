@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 POINTS_SQL = """
 SELECT scan_id, record_idx, az, el, rng,
@@ -73,11 +72,11 @@ def scan_points_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.withColumns({c: F.col(c) + F.get(shift, F.lit(i)) for i, c in enumerate("xyz")})
 
 
-FIELD = T.StructType.fromDDL("name string, type string, minimum bigint, maximum bigint, scale double, offset double, bits int")
-META = T.StructType.fromDDL(
+META = (
     "scan_id int, has_pose boolean, q array<double>, t array<double>, has_index_bounds boolean, row_min bigint, row_max bigint, col_min bigint, col_max bigint, has_point_grouping boolean, "
-    "has_cartesian_bounds boolean, x_min double, x_max double, y_min double, y_max double, z_min double, z_max double"
-).add("proto", T.ArrayType(FIELD))
+    "has_cartesian_bounds boolean, x_min double, x_max double, y_min double, y_max double, z_min double, z_max double, "
+    "proto array<struct<name: string, type: string, minimum: bigint, maximum: bigint, scale: double, offset: double, bits: int>>"
+)
 
 
 def scan_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
