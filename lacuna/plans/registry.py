@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scan_queries, space_queries
+from . import file_queries, scan_queries, space_queries
 
-MODULES = (scan_queries, space_queries)
+MODULES = (scan_queries, space_queries, file_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
