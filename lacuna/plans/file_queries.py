@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,25 @@ def crc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.agg(F.count_if(F.col("stored") != F.col("computed")).alias("bad_pages"), F.min(F.when(F.col("stored") != F.col("computed"), F.col("page_no"))).alias("first_bad"))
 
 
+@query()
+def decode_restart_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read of a file with restarts, of its first ten by a limit, and of one that was cut short."""
+    e2807.register(spark)
+    base = os.path.join(shared_dir(spark).removeprefix("file://"), f"cases-{uuid.uuid4().hex}")
+    fields = [codec.Field("cartesianX", "Integer", 0, 2047), codec.Field("cartesianY")]
+    n = 5_000
+    values = [np.arange(n) % 2048, np.arange(n) / 7]
+    whole = codec.write([(codec.Scan(fields, n, 0), values)], 64, restart_every=3)
+    short = codec.write([(codec.Scan(fields, n, 0), [v[: n // 2] for v in values])], 64)
+    os.makedirs(base, exist_ok=True)
+    for name, data in (("restarts", whole), ("short", short)):
+        with open(os.path.join(base, f"{name}.e57"), "wb") as f:
+            f.write(data)
+    read = lambda name: spark.read.format("e2807").options(fields="cartesianX,cartesianY", on_error="PERMISSIVE").load(f"{base}/{name}.e57")
+    counted = lambda name, df: df.agg(F.count("*").alias("records"), F.round(F.sum("cartesianY"), 3).alias("sum_y")).withColumn("case", F.lit(name))
+    return counted("restarts", read("restarts")).unionByName(counted("limit", read("restarts").limit(10))).unionByName(counted("short", read("short")))
+
+
 @query()
 def export_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component report written as CSV and read back."""

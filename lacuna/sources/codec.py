@@ -348,7 +348,7 @@ def scan_xml(s: Scan) -> str:
 
 def encode_packets(scan: Scan, columns: list[np.ndarray], per_packet: int, restart_every: int = 0, extra: bytes = b"") -> bytes:
     """Data packets of so many records' bits each; streams go on across packets but start anew at restarts."""
-    n, out, count = scan.records, [], 0
+    n, out, count = len(columns[0]) if columns else 0, [], 0
     span = restart_every * per_packet if restart_every else max(n, 1)
     for a in range(0, n, span):
         b = min(n, a + span)
