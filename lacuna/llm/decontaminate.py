@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
 WINDOW, SHARE, SHORTEST = 13, 0.8, 5
+#: Tokens of a text whose places one row holds before they are spread.
+CHUNK = 512
 #: More benchmark hashes than this (some 40 bytes each) are not broadcast.
 MOST_BROADCAST = 200_000
 PARTS = "[^\\p{L}\\p{N}]+"
@@ -44,20 +46,44 @@ def picks(lengths: list[int]) -> list[tuple[int, ...]]:
 
 
 def seed(place: Column, mask: Column, offsets: list[tuple[int, ...]]) -> Column:
-    """The hash of what a mask picks at a place."""
-    out = None
-    for i, own in enumerate(offsets):
-        value = F.xxhash64(F.lit(i), *[F.get("toks", place + o) for o in own])
-        out = F.when(mask == i, value) if out is None else out.when(mask == i, value)
-    return out
+    """The hash of what a mask picks at a place of ``part``."""
+    hashes = [F.xxhash64(F.lit(i), *[F.get("part", place + o) for o in own]) for i, own in enumerate(offsets)]
+    out = F.when(mask == 0, hashes[0])
+    for i, value in enumerate(hashes[1:], 1):
+        out = out.when(mask == i, value)
+    return out.otherwise(F.lit(0))
+
+
+def places(rows: DataFrame, offsets: list[tuple[int, ...]], overlap: int) -> DataFrame:
+    """One row for each place and mask: where it is (place) and what the mask picks there (h).
+
+    ``toks`` becomes ``part``, tokens from ``base`` on that reach ``overlap``
+    past the places of a row to either side, so that no row carries more than
+    ``CHUNK`` tokens and twice the overlap, however long a text is.
+    """
+    n = F.size("toks")
+    piece = lambda s: F.struct(s.alias("first"), F.greatest(s - overlap, F.lit(0)).alias("base"))
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(CHUNK)), piece)
+    cut = rows.select("*", F.explode(starts).alias("c"), n.alias("n_toks"))
+    cut = cut.select(*[c for c in rows.columns if c != "toks"], F.slice("toks", F.col("c.base") + 1, F.lit(CHUNK + 2 * overlap)).alias("part"), F.col("c.first").alias("first"), F.col("c.base").alias("base"), "n_toks")
+    here = F.least(F.lit(CHUNK), F.col("n_toks") - F.col("first"))
+    spread = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(here * len(offsets) - 1, F.lit(0)))))
+    spread = spread.withColumn("place", F.col("first") + F.expr(f"CAST(at DIV {len(offsets)} AS INT)"))
+    return spread.withColumn("h", seed(F.col("place") - F.col("base"), F.col("at") % len(offsets), offsets)).drop("at", "first")
+
 
+def item_seeds(items: DataFrame, offsets: list[tuple[int, ...]]) -> DataFrame:
+    """h, item_id, item and item_place of every mask at every place of an item where all it picks is there.
 
-def places(rows: DataFrame, offsets: list[tuple[int, ...]]) -> DataFrame:
-    """One row for each place and mask that fits there."""
-    least = min(o[-1] for o in offsets)
-    spread = rows.where(F.size("toks") > least).withColumn("at", F.explode(F.sequence(F.lit(0), (F.size("toks") - least) * len(offsets) - 1)))
-    at, mask = F.floor(F.col("at") / len(offsets)).cast("int"), F.col("at") % len(offsets)
-    return spread.withColumn("place", at).withColumn("h", seed(at, mask, offsets)).drop("at")
+    An item shorter than the masks has just the one of its own length.
+    """
+    n, out = F.size("item"), None
+    for i, own in enumerate(offsets):
+        fits = n == len(own) if i >= len(MASKS) else n > own[-1]
+        spread = items.where(fits).select("item_id", "item", F.col("item").alias("part"), F.explode(F.sequence(F.lit(0), n - 1 - own[-1])).alias("item_place"))
+        seeds = spread.select(seed(F.col("item_place"), F.lit(i), offsets).alias("h"), "item_id", "item", "item_place")
+        out = seeds if out is None else out.unionByName(seeds)
+    return out.distinct()
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -68,28 +94,29 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     a stretch), stretch (its length), n_hits (seed hits that led to it).
     """
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), tokens(F.regexp_replace(F.col(f"`{item_text_col}`"), f"^{PARTS}|{PARTS}$", "")).alias("toks")).distinct()
-    items = items.where(F.size("toks") >= SHORTEST).select("item_id", F.col("toks").alias("item"), "toks")
-    lengths = sorted(r[0] for r in items.where(F.size("toks") < SPAN).select(F.size("toks")).distinct().collect())
-    offsets = picks(lengths)
-    # A short item has only the mask of its own length, a longer one only the proper masks.
-    seeds = places(items, offsets).where(F.col("h").isNotNull()).select("h", "item_id", "item", F.col("place").alias("item_place"))
-    seeds = seeds.distinct()
+    items = items.where(F.size("toks") >= SHORTEST).select("item_id", F.col("toks").alias("item"))
+    # At most SPAN lengths of short items, and the greatest of all.
+    sizes = items.agg(F.sort_array(F.collect_set(F.when(F.size("item") < SPAN, F.size("item")))).alias("short"), F.coalesce(F.max(F.size("item")), F.lit(0)).alias("longest")).first()
+    offsets, longest = picks(sizes["short"]), sizes["longest"]
+    seeds = item_seeds(items, offsets)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("toks"))
+    spread = places(rows, offsets, longest)
     # Laid along the item: the document's tokens from where the item's first would stand.
     start = F.col("place") - F.col("item_place")
     low = F.greatest(start, F.lit(0))
-    laid = F.slice("toks", low + 1, F.least(start + F.size("item"), F.size("toks")) - low)
+    laid = F.slice("part", low - F.col("base") + 1, F.least(start + F.size("item"), F.col("n_toks")) - low)
     if seeds.count() <= MOST_BROADCAST:
-        hits = places(rows, offsets).join(F.broadcast(seeds), "h").select("doc_id", "text_hash", "item_id", "item", start.alias("start"), laid.alias("laid"))
+        hits = spread.join(F.broadcast(seeds), "h").select("doc_id", "text_hash", "item_id", "item", start.alias("start"), laid.alias("laid"))
     else:
         thin = seeds.select("h", "item_id", "item_place", F.size("item").alias("n"))
-        found = places(rows, offsets).select("doc_id", "text_hash", "place", "h").join(thin, "h").select("doc_id", "text_hash", "item_id", start.alias("start"), "n").distinct()
+        found = spread.select("doc_id", "text_hash", "place", "h").join(thin, "h").select("doc_id", "text_hash", "item_id", start.alias("start")).distinct()
         again = rows.dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "th")
         met = found.join(again, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th"))).join(items.select("item_id", "item"), "item_id")
         low = F.greatest("start", F.lit(0))
         hits = met.select("doc_id", "text_hash", "item_id", "item", "start", F.slice("toks", low + 1, F.least(F.col("start") + F.size("item"), F.size("toks")) - low).alias("laid"))
-    once = hits.groupBy("doc_id", "text_hash", "item_id", "start", "item", "laid").agg(F.count("*").alias("n_hits"))
+    # The arrays are no grouping keys: conditions on them would move into the join and keep it from being compiled with what feeds it.
+    once = hits.groupBy("doc_id", "text_hash", "item_id", "start").agg(F.count("*").alias("n_hits"), F.first("item").alias("item"), F.first("laid").alias("laid"))
     pairs = F.zip_with("laid", F.slice("item", F.greatest(-F.col("start"), F.lit(0)) + 1, F.size("laid")), lambda a, b: F.when(a == b, 1).otherwise(0))
     compared = once.select("doc_id", "text_hash", "item_id", "start", "n_hits", pairs.alias("same"), F.least(F.lit(WINDOW), F.size("item")).alias("stretch")).where(F.size("same") >= F.col("stretch"))
     windows = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("stretch")), lambda i: F.aggregate(F.slice("same", i + 1, F.col("stretch")), F.lit(0), lambda a, x: a + x))
