@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import bpe, decontaminate, language, simhash, substrings
 from lacuna.llm.common import table
-from lacuna.llm.graph import cut
+from lacuna.operators.graph import cut
 
 #: The stages hold custom operators that SQL cannot express.
 ORACLE_SQL = None
@@ -29,8 +29,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id. Rows without an id stay."""
-    groups = simhash.group_near_copies(docs)
+    """One document of each group of near copies: the one with the least id. Rows without an id stay.
+
+    Near copies share about 0.8 of their five-word shingles or more.
+    """
+    groups = simhash.group_loose_copies(docs)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 

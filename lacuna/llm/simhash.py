@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, cut
 from .common import map_batches
-from .graph import components, cut
 
 BITS, BUDGET = 64, 4
 #: (left rotation, bits in front) of each trie: the five blocks of a fingerprint.
@@ -40,7 +40,7 @@ PIECE = 1 << 16
 #: Node pairs with at most this many leaf pairs are compared leaf by leaf.
 FEW = 16
 #: Node pairs taken on together.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -90,22 +90,31 @@ def settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def trie_join(group: np.ndarray, values: np.ndarray, front: int, budget: int = BUDGET) -> np.ndarray:
+def distance(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of pairs of leaves, of one 64-bit word each or of several."""
+    bits = np.bitwise_count(values[a] ^ values[b])
+    return bits if values.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
+def trie_join(group: np.ndarray, values: np.ndarray, front: int, budget: int = BUDGET, few: int = FEW) -> np.ndarray:
     """Label (least index) of each leaf's connected set; leaves are sorted by group and value.
 
     Leaves of a group agree on their first ``front`` bits. A node is a range of
-    leaves; ``split`` finds where its second child starts.
+    leaves; its second child starts where the next bit turns to one. ``values``
+    has one 64-bit word for each leaf, or a row of several.
     """
     n = len(values)
     label = np.arange(n)
     if n < 2:
         return label
+    words = values.reshape(n, -1)
+    total = BITS * words.shape[1]
     # Neighbours in a few orders are linked first, so that crowded subtrees are known to be connected before they are traversed.
     for left in range(0, BITS, 8):
-        order = np.lexsort((rotate(values, left), group))
+        order = np.lexsort((*(rotate(w, left) for w in np.roll(words, left // 8, axis=1).T), group))
         for gap in (1, 2):
             a, b = order[:-gap], order[gap:]
-            near = (group[a] == group[b]) & (np.bitwise_count(values[a] ^ values[b]) <= budget)
+            near = (group[a] == group[b]) & (distance(values, a, b) <= budget)
             settle(label, a[near], b[near])
     edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     lo, hi = edges[:-1], edges[1:]
@@ -115,26 +124,29 @@ def trie_join(group: np.ndarray, values: np.ndarray, front: int, budget: int = B
     ones: dict[int, np.ndarray] = {}
     while stack:
         depth, alo, ahi, blo, bhi, spent = stack.pop()
-        if len(alo) > FRONTIER:
+        size = (ahi - alo) * (bhi - blo)
+        small = size <= few
+        if len(alo) > 1 and (len(alo) > FRONTIER or size[small].sum() > 2 * FRONTIER):
             half = len(alo) // 2
             stack += [(depth, *(x[:half] for x in (alo, ahi, blo, bhi, spent))), (depth, *(x[half:] for x in (alo, ahi, blo, bhi, spent)))]
             continue
         change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
         open_ = (change[ahi - 1] != change[alo]) | (change[bhi - 1] != change[blo]) | (label[alo] != label[blo])
-        alo, ahi, blo, bhi, spent = (x[open_] for x in (alo, ahi, blo, bhi, spent))
-        few = (ahi - alo) * (bhi - blo) <= FEW
-        if few.any():
-            width, total = (bhi - blo)[few], ((ahi - alo) * (bhi - blo))[few]
-            place = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-            wide = np.repeat(width, total)
-            a, b = np.repeat(alo[few], total) + place // wide, np.repeat(blo[few], total) + place % wide
-            near = (a < b) & (np.bitwise_count(values[a] ^ values[b]) <= budget)
+        alo, ahi, blo, bhi, spent, size, small = (x[open_] for x in (alo, ahi, blo, bhi, spent, size, small))
+        if small.any():
+            width, count = (bhi - blo)[small], size[small]
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            wide = np.repeat(width, count)
+            a, b = np.repeat(alo[small], count) + place // wide, np.repeat(blo[small], count) + place % wide
+            ahead = a < b
+            a, b = a[ahead], b[ahead]
+            near = distance(values, a, b) <= budget
             settle(label, a[near], b[near])
-            alo, ahi, blo, bhi, spent = (x[~few] for x in (alo, ahi, blo, bhi, spent))
-        if depth >= BITS or not len(alo):
+            alo, ahi, blo, bhi, spent = (x[~small] for x in (alo, ahi, blo, bhi, spent))
+        if depth >= total or not len(alo):
             continue
         if depth not in ones:
-            ones[depth] = np.concatenate([[0], np.cumsum((values >> np.uint64(BITS - 1 - depth) & np.uint64(1)).astype(np.int64))])
+            ones[depth] = np.concatenate([[0], np.cumsum((words[:, depth // BITS] >> np.uint64(BITS - 1 - depth % BITS) & np.uint64(1)).astype(np.int64))])
         one = ones[depth]
         amid, bmid = ahi - (one[ahi] - one[alo]), bhi - (one[bhi] - one[blo])
         same = alo == blo
@@ -151,7 +163,7 @@ def trie_join(group: np.ndarray, values: np.ndarray, front: int, budget: int = B
     return label
 
 
-def links(fps: DataFrame, most: int = 250_000, leaves_per_task: int = 400_000) -> DataFrame:
+def links(fps: DataFrame, most: int = 250_000, leaves_per_task: int = 200_000) -> DataFrame:
     """(u, v): stars that connect all distinct fingerprints within the budget of each other."""
     turn = F.explode(F.array(*[F.struct(F.lit(i).alias("trie"), (F.shiftleft("fp", left) if left else F.col("fp")).bitwiseOR(F.shiftrightunsigned("fp", BITS - left) if left else F.lit(0).cast("long")).alias("value"), F.lit(bits).alias("bits")) for i, (left, bits) in enumerate(FRONTS)]))
     leaves = fps.select(turn.alias("x")).select(F.col("x.value").alias("value"), (F.col("x.trie") * (1 << 13) + F.when(F.col("x.bits") == 13, F.shiftrightunsigned("x.value", 51)).otherwise(F.shiftrightunsigned("x.value", 52))).cast("int").alias("front"))
@@ -187,5 +199,94 @@ def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = sets.join(leaves.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = named.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    by_print = leaves.join(by_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written, so that the join below has a plain shuffle on either side and can be split where one fingerprint is most of the rows.
+    by_print = cut(leaves.join(by_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- looser copies ---------------------------------------------------------
+WIDE, WIDE_SHINGLE, WIDE_BUDGET = 4, 5, 50
+#: Bits that near copies mostly share, and how many tries a pair of them should share, for the number of tries.
+AGREE, EXPECTED = 0.87, 4.0
+NAMES = [f"w{i}" for i in range(WIDE)]
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Four 64-bit words over the distinct shingles, so that one that is repeated often doesn't make texts alike."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(WIDE, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[: max(0, len(words) - shingle)] + 1]).tolist()
+    own = list({joined[a:b] for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist())})
+    counts, digest = np.zeros(BITS * WIDE, np.int64), xxhash.xxh3_128_digest
+    for at in range(0, len(own), PIECE):
+        part = b"".join([digest(x, seed) for x in own[at : at + PIECE] for seed in (1, 2)])
+        counts += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8 * WIDE), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(own)).view(np.uint64)
+
+
+def wide_fronts(n: int) -> list[np.ndarray]:
+    """The bits in front of each trie: enough of them for some 64 leaves to share them by chance, and enough tries for near copies to meet.
+
+    A pair that shares 87 % of its bits shares 4 of the tries on average and
+    thus meets in 98 % of cases, besides those that meet through a third.
+    """
+    bits = max(8, int(np.ceil(np.log2(max(n, 2)))) - 6)
+    tries = int(np.ceil(EXPECTED / AGREE**bits))
+    return [np.sort(np.random.default_rng(i).choice(BITS * WIDE, bits, replace=False)) for i in range(tries)]
+
+
+def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = WIDE_BUDGET, most: int = 250_000, leaves_per_task: int = 100_000) -> DataFrame:
+    """(doc_id, component_id) of near copies that differ in some words (about 0.8 of their five-word shingles in common).
+
+    Fingerprints of 256 bits over shingles of 5 words link at 50 or fewer
+    differing bits: near copies mostly differ in 20 to 45, unrelated texts in
+    90 or more. A budget of 50 leaves no block of bits that every pair shares,
+    so each trie has bits picked at random in front (see ``wide_fronts``);
+    below them the self-join is the same. Rows without an id are left out.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = np.stack([wide_fingerprint(x) for x in batch.column(1).to_pylist()]).view(np.int64)
+        return pa.record_batch([batch.column(0).cast(pa.int64()), *[pa.array(np.ascontiguousarray(w)) for w in words.T]], names=["doc_id", *NAMES])
+
+    known = docs.where(F.col(f"`{id_col}`").isNotNull())
+    prints = cut(map_batches(known, [id_col, text_col], run, "doc_id long, " + ", ".join(f"{w} long" for w in NAMES)))
+    leaves = cut(prints.groupBy(*NAMES).agg(F.min("doc_id").alias("node")))
+    n = leaves.count()
+    fronts = wide_fronts(n)
+    tasks = max(1, -(-n * len(fronts) // leaves_per_task))
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
+        keys = []
+        for i, own in enumerate(fronts):
+            key = np.full(len(words), i, np.int64)
+            for b in own.tolist():
+                key = key << 1 | (words[:, b // BITS] >> np.uint64(BITS - 1 - b % BITS) & np.uint64(1)).astype(np.int64)
+            keys.append(key)
+        again = np.tile(np.arange(len(words)), len(fronts))
+        return pa.record_batch([pa.array(np.concatenate(keys)), *[c.take(pa.array(again)) for c in batch.columns]], names=["front", "node", *NAMES])
+
+    dealt = map_batches(leaves, ["node", *NAMES], spread, "front long, node long, " + ", ".join(f"{w} long" for w in NAMES))
+    crowded = dealt.groupBy("front").agg(F.count("*").alias("n")).where(F.col("n") > most).select("front", F.ceil(F.col("n") / most).cast("int").alias("g"))
+    own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
+    cells = F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1), lambda j: F.least(own, j) * 65536 + F.greatest(own, j)))
+    parts = dealt.join(crowded, "front", "left").withColumn("cell", F.explode(cells)).drop("g")
+    parts = parts.withColumn("task", F.pmod(F.xxhash64("front", "cell"), F.lit(tasks)).cast("int"))
+
+    def join(table: pa.Table) -> pa.Table:
+        words = np.stack([table.column(w).to_numpy() for w in NAMES], axis=1).view(np.uint64)
+        node, front, cell = (table.column(c).to_numpy() for c in ("node", "front", "cell"))
+        order = np.lexsort((*words.T[::-1], cell, front))
+        words, node, front, cell = words[order], node[order], front[order], cell[order]
+        group = np.cumsum(np.concatenate([[0], (np.diff(front) != 0) | (np.diff(cell) != 0)]))
+        label = trie_join(group, np.ascontiguousarray(words), 0, budget, 256)
+        joined = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"u": node[joined], "v": node[label[joined]]})
+
+    sets = components(parts.groupBy("task").applyInArrow(join, "u long, v long"))
+    by_print = cut(leaves.join(sets, "node", "left").select(*NAMES, F.coalesce("root", "node").alias("component_id")))
+    return prints.join(by_print, NAMES).select("doc_id", "component_id")

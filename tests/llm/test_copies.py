@@ -88,6 +88,25 @@ def test_simhash_of_odd_texts(odd, none):
     assert simhash.group_near_copies(none).collect() == []
 
 
+def test_loose_copies(crowd, odd, none):
+    texts = {r.doc_id: r.text for r in crowd.collect()}
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in texts.items()}
+    got = {r.doc_id: r.component_id for r in simhash.group_loose_copies(crowd).collect()}
+    assert set(got) == set(texts)
+    near = far = met = 0
+    for a, b in combinations(sorted(texts), 2):
+        j = len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+        if j >= 0.8:
+            near, met = near + 1, met + (got[a] == got[b])
+        elif j < 0.3:
+            far += got[a] == got[b]
+    assert near > 100 and met >= 0.97 * near and far == 0
+    again = {r.doc_id: r.component_id for r in simhash.group_loose_copies(crowd, most=4, leaves_per_task=50).collect()}
+    assert again == got
+    assert {(r.doc_id, r.component_id) for r in simhash.group_loose_copies(odd).collect()} >= {(1, 1), (2, 1), (3, 1), (4, 0), (7, 7)}
+    assert simhash.group_loose_copies(none).collect() == []
+
+
 def expected_left(rows):
     """(n_words, n_removed, digest) of each row, by definition."""
     first = {}

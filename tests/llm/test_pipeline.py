@@ -19,7 +19,7 @@ def test_stages(spark, sf_dir):
     # Every text of this corpus has a language.
     assert known.count() == start.count()
     # Near copies: just the least id of each component stays.
-    groups = {r.doc_id: r.component_id for r in queries.simhash.group_near_copies(known).collect()}
+    groups = {r.doc_id: r.component_id for r in queries.simhash.group_loose_copies(known).collect()}
     assert {r.doc_id for r in single.collect()} == set(groups.values())
     # Substrings: by definition, on what was kept.
     first, rows = {}, sorted((r.doc_id, WORDS.findall(r.text)) for r in single.collect())
