@@ -51,7 +51,7 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encodes and decodes as the tokenizer file says."""
 
-    def __init__(self, config: str, cache: int = 200_000):
+    def __init__(self, config: str, cache: int = 50_000):
         spec = json.loads(config)
         model = spec["model"]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]

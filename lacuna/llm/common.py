@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator, Sequence
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts handled together in numpy, in characters; only memory depends on it.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
+#: Rows of an Arrow batch handled together; what is made of them is handed on before the next ones.
+ROWS = 512
 
 
 class TwoAgeCache(dict):
@@ -22,7 +25,7 @@ class TwoAgeCache(dict):
     at the speed of a plain dict.
     """
 
-    def __init__(self, compute: Callable, limit: int = 300_000):
+    def __init__(self, compute: Callable, limit: int = 50_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
@@ -37,6 +40,15 @@ class TwoAgeCache(dict):
         return value
 
 
+def release() -> None:
+    """Give memory that is free but held back to the system: workers live on from one task to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,12 +60,13 @@ def map_batches(df: DataFrame, columns: Sequence[str], fn: Callable[[pa.RecordBa
         gc.disable()  # the caches hold no cycles, and walking them again and again is slow
         try:
             for batch in batches:
-                if batch.num_rows:
-                    out = fn(batch)
+                for at in range(0, batch.num_rows, ROWS):
+                    out = fn(batch.slice(at, ROWS))
                     if out is not None:
                         yield out
         finally:
             gc.enable()
+            release()
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 

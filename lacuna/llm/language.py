@@ -158,12 +158,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Per row: doc_id, held_out, lang_pred, score, and the columns of ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [docs.schema[c] for c in keep]
+    carried = [i for i, f in enumerate(kept) if f.name != text_col]
     schema = SCHEMA + "".join(f", `kept_{i}` {f.dataType.simpleString()}" for i, f in enumerate(kept))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, scores = shared.value.predict(batch.column(1).to_pylist())
-        return pa.record_batch([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *[f"kept_{i}" for i in range(len(kept))]])
+        return pa.record_batch([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *[batch.column(1) if i not in carried else batch.column(3 + carried.index(i)) for i in range(len(kept))]], names=["doc_id", "held_out", "lang_pred", "score", *[f"kept_{i}" for i in range(len(kept))]])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held_out(id_col).alias("held_out"), *[F.col(f"`{f.name}`").alias(f"kept_{i}") for i, f in enumerate(kept)])
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held_out(id_col).alias("held_out"), *[F.col(f"`{kept[i].name}`").alias(f"kept_{i}") for i in carried])
     out = map_batches(rows, rows.columns, run, schema)
     return out.select("doc_id", "held_out", "lang_pred", "score", *[F.col(f"kept_{i}").alias(f.name) for i, f in enumerate(kept)])

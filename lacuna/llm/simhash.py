@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, cut
-from .common import map_batches
+from .common import map_batches, release
 
 BITS, BUDGET = 64, 4
 #: (left rotation, bits in front) of each trie: the five blocks of a fingerprint.
@@ -285,7 +285,10 @@ def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         group = np.cumsum(np.concatenate([[0], (np.diff(front) != 0) | (np.diff(cell) != 0)]))
         label = trie_join(group, np.ascontiguousarray(words), 0, budget, 256)
         joined = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"u": node[joined], "v": node[label[joined]]})
+        out = pa.table({"u": node[joined], "v": node[label[joined]]})
+        del words, group
+        release()
+        return out
 
     sets = components(parts.groupBy("task").applyInArrow(join, "u long, v long"))
     by_print = cut(leaves.join(sets, "node", "left").select(*NAMES, F.coalesce("root", "node").alias("component_id")))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoAgeCache
+from .common import TwoAgeCache, release
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 13, 5
@@ -54,7 +54,7 @@ DOCS_PER_BUCKET, BYTES_PER_BUCKET, BYTES_PER_SHARD = 1024, 4 << 20, 12 << 20
 POWERS = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64))
 PIECES = "shard int, bucket int, data binary"
 
-_words = TwoAgeCache(lambda w: xxhash.xxh64_intdigest(w) >> 16, 400_000)
+_words = TwoAgeCache(lambda w: xxhash.xxh64_intdigest(w) >> 16, 120_000)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -285,6 +285,8 @@ def answer_segments(sent: pa.Table) -> pa.Table:
     first = np.cumsum(windows) - windows
     covered = earliest[stretch(first[which], windows[which])] < np.repeat(owner, windows[which])
     edge = np.concatenate([[0], np.cumsum(windows[which])])[np.cumsum([0, *(len(x[0]) for x in got)])]
+    del index, text, words, raw, low, high
+    release()
     return pieces(sent.column("shard").to_pylist(), sent.column("bucket").to_pylist(), [pack(np.packbits(covered[a:b])) for a, b in zip(edge, edge[1:])])
 
 
@@ -347,6 +349,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
             gone.append(n)
             if with_text:
                 texts.append(data.decode() if n else text)
+        release()
         out = {"doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(edge), pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(left, pa.string())}
         if with_text:
             out["text"] = pa.array(texts, pa.string())
