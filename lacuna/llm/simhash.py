@@ -205,91 +205,163 @@ def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 # ---- looser copies ---------------------------------------------------------
-WIDE, WIDE_SHINGLE, WIDE_BUDGET = 4, 5, 50
-#: Bits that near copies mostly share, and how many tries a pair of them should share, for the number of tries.
-AGREE, EXPECTED = 0.87, 4.0
-NAMES = [f"w{i}" for i in range(WIDE)]
-
-
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """Four 64-bit words over the distinct shingles, so that one that is repeated often doesn't make texts alike."""
+SHINGLE = 5
+#: Near copies have at least this share (a / b) of their distinct shingles in common.
+SHARE = (4, 5)
+#: Texts in which shingles are counted, and how many of them a common one is in. Only the order of shingles, and so the time, depends on these.
+SAMPLE, OFTEN, MOST_COMMON = 20_000, 3, 200_000
+#: Rounds in which crowded shingles meet one of their texts only.
+HUB_ROUNDS = 2
+#: More ids than this of texts to be compared are not broadcast.
+MOST_IDS = 500_000
+#: Sets of shingles a worker keeps, in shingles.
+HELD = 4_000_000
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted 62-bit hashes of a text's distinct shingles; a text with fewer words is one, a text without words has none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.int64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[: max(0, len(words) - shingle)] + 1]).tolist()
-    own = list({joined[a:b] for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist())})
-    counts, digest = np.zeros(BITS * WIDE, np.int64), xxhash.xxh3_128_digest
-    for at in range(0, len(own), PIECE):
-        part = b"".join([digest(x, seed) for x in own[at : at + PIECE] for seed in (1, 2)])
-        counts += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8 * WIDE), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(own)).view(np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    found = np.fromiter((digest(joined[a:b]) >> 2 for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist())), np.int64, len(starts))
+    return np.unique(found)
 
 
-def wide_fronts(n: int) -> list[np.ndarray]:
-    """The bits in front of each trie: enough of them for some 64 leaves to share them by chance, and enough tries for near copies to meet.
+def name_of(own: np.ndarray) -> int:
+    """A set of shingles as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
 
-    A pair that shares 87 % of its bits shares 4 of the tries on average and
-    thus meets in 98 % of cases, besides those that meet through a third.
-    """
-    bits = max(8, int(np.ceil(np.log2(max(n, 2)))) - 6)
-    tries = int(np.ceil(EXPECTED / AGREE**bits))
-    return [np.sort(np.random.default_rng(i).choice(BITS * WIDE, bits, replace=False)) for i in range(tries)]
 
+def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of a set's shingles, common ones last by rank: two sets that are near copies share one of these at least."""
+    order = own.copy()
+    at = np.searchsorted(common, own)
+    hit = np.flatnonzero(at < len(common))
+    hit = hit[common[at[hit]] == own[hit]]
+    order[hit] = (1 << 62) + rank[at[hit]]
+    order = np.sort(order)
+    a, b = SHARE
+    return order[: len(own) - -(-a * len(own) // b) + 1] if len(own) else order
 
-def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = WIDE_BUDGET, most: int = 250_000, leaves_per_task: int = 100_000) -> DataFrame:
-    """(doc_id, component_id) of near copies that differ in some words (about 0.8 of their five-word shingles in common).
 
-    Fingerprints of 256 bits over shingles of 5 words link at 50 or fewer
-    differing bits: near copies mostly differ in 20 to 45, unrelated texts in
-    90 or more. A budget of 50 leaves no block of bits that every pair shares,
-    so each trie has bits picked at random in front (see ``wide_fronts``);
-    below them the self-join is the same. Rows without an id are left out.
-    """
+def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that a sample of texts has often, and their ranks from the rarest on."""
+    step = max(1, docs.count() // SAMPLE)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = np.stack([wide_fingerprint(x) for x in batch.column(1).to_pylist()]).view(np.int64)
-        return pa.record_batch([batch.column(0).cast(pa.int64()), *[pa.array(np.ascontiguousarray(w)) for w in words.T]], names=["doc_id", *NAMES])
+        return pa.record_batch([pa.array(np.concatenate([shingles(x) for x in batch.column(0).to_pylist()]))], names=["s"])
+
+    sample = docs.where(F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(step)) == 0)
+    often = map_batches(sample, [text_col], run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = np.array([r.s for r in often.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()], np.int64)
+    order = np.argsort(found)
+    return found[order], len(found) - 1 - order
+
+
+def verified(pairs: DataFrame, leaves: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """The pairs (u, v) of sets that have SHARE of their shingles in common, counted on their texts; ``most`` pairs a task."""
+    a, b = SHARE
+    side = lambda c: leaves.select(F.col("node").alias(c), F.col("least").alias(f"{c}i"), F.col("size").alias(f"{c}s"))
+    named = pairs.join(side("u"), "u").join(side("v"), "v").where(b * F.least("us", "vs") >= a * F.greatest("us", "vs"))
+    named = cut(named.select("u", "v", "ui", "vi"))
+    tasks = -(-named.count() // most)
+    needed = cut(named.select(F.col("ui").alias("id")).unionByName(named.select(F.col("vi").alias("id"))).distinct())
+    # Few ids are broadcast, so that the other texts stay where they are.
+    needed = F.broadcast(needed) if needed.count() <= MOST_IDS else needed
+    # Rows of one id may have several texts; the one meant is known by its name.
+    own = cut(texts.join(needed, "id", "left_semi").dropDuplicates(["id", "text"]))
+    both = named.join(own.select(F.col("id").alias("ui"), F.col("text").alias("ut")), "ui").join(own.select(F.col("id").alias("vi"), F.col("text").alias("vt")), "vi")
+
+    def run(batches):
+        kept, size = {}, 0
+
+        def of(text: str):
+            nonlocal size
+            key = xxhash.xxh3_128_digest((text or "").encode())
+            if key not in kept:
+                own = shingles(text)
+                if size > HELD:
+                    kept.clear()
+                    size = 0
+                kept[key] = own, name_of(own)
+                size += len(own) + 50
+            return kept[key]
+
+        for batch in batches:
+            us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            good = []
+            for u, v, x, y in zip(us, vs, batch.column(2), batch.column(3)):
+                (x, un), (y, vn) = of(x.as_py()), of(y.as_py())
+                if (un, vn) == (u, v):
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(b * same >= a * (len(x) + len(y) - same))
+                else:
+                    good.append(False)
+            keep = pa.array(good, pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+        kept.clear()
+        release()
+
+    both = both.select("u", "v", "ut", "vt")
+    return (both.repartition(tasks) if tasks > 1 else both).mapInArrow(run, "u long, v long")
+
 
+def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 30, leaves_per_task: int = 100_000) -> DataFrame:
+    """(doc_id, component_id) of near copies: texts with 0.8 of their distinct five-word shingles in common, and what these connect.
+
+    The join is exact (to hashes of 62 bits) for any number of rows. Shingles
+    are put in one order; of a set of n, the first n - ceil(0.8 n) + 1 are
+    joined, of which two near copies always share one. A pair goes on if the
+    shingles shared there leave it enough of the others, and is a link if its
+    texts, compared whole, have 0.8 in common. Where a shingle is in more than
+    ``most`` sets, these meet one of their number first, and later only those
+    that are not known to be connected. Rows without an id are left out.
+    """
     known = docs.where(F.col(f"`{id_col}`").isNotNull())
-    prints = cut(map_batches(known, [id_col, text_col], run, "doc_id long, " + ", ".join(f"{w} long" for w in NAMES)))
-    leaves = cut(prints.groupBy(*NAMES).agg(F.min("doc_id").alias("node")))
-    n = leaves.count()
-    fronts = wide_fronts(n)
-    tasks = max(1, -(-n * len(fronts) // leaves_per_task))
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
-        keys = []
-        for i, own in enumerate(fronts):
-            key = np.full(len(words), i, np.int64)
-            for b in own.tolist():
-                key = key << 1 | (words[:, b // BITS] >> np.uint64(BITS - 1 - b % BITS) & np.uint64(1)).astype(np.int64)
-            keys.append(key)
-        again = np.tile(np.arange(len(words)), len(fronts))
-        return pa.record_batch([pa.array(np.concatenate(keys)), *[c.take(pa.array(again)) for c in batch.columns]], names=["front", "node", *NAMES])
-
-    dealt = map_batches(leaves, ["node", *NAMES], spread, "front long, node long, " + ", ".join(f"{w} long" for w in NAMES))
-    crowded = dealt.groupBy("front").agg(F.count("*").alias("n")).where(F.col("n") > most).select("front", F.ceil(F.col("n") / most).cast("int").alias("g"))
-    own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
-    cells = F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1), lambda j: F.least(own, j) * 65536 + F.greatest(own, j)))
-    parts = dealt.join(crowded, "front", "left").withColumn("cell", F.explode(cells)).drop("g")
-    parts = parts.withColumn("task", F.pmod(F.xxhash64("front", "cell"), F.lit(tasks)).cast("int"))
-
-    def join(table: pa.Table) -> pa.Table:
-        words = np.stack([table.column(w).to_numpy() for w in NAMES], axis=1).view(np.uint64)
-        node, front, cell = (table.column(c).to_numpy() for c in ("node", "front", "cell"))
-        order = np.lexsort((*words.T[::-1], cell, front))
-        words, node, front, cell = words[order], node[order], front[order], cell[order]
-        group = np.cumsum(np.concatenate([[0], (np.diff(front) != 0) | (np.diff(cell) != 0)]))
-        label = trie_join(group, np.ascontiguousarray(words), 0, budget, 256)
-        joined = np.flatnonzero(label != np.arange(len(label)))
-        out = pa.table({"u": node[joined], "v": node[label[joined]]})
-        del words, group
-        release()
-        return out
+    texts = known.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    common = known.sparkSession.sparkContext.broadcast(common_shingles(texts, "id", "text"))
 
-    sets = components(parts.groupBy("task").applyInArrow(join, "u long, v long"))
-    by_print = cut(leaves.join(sets, "node", "left").select(*NAMES, F.coalesce("root", "node").alias("component_id")))
-    return prints.join(by_print, NAMES).select("doc_id", "component_id")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(x) for x in batch.column(1).to_pylist()]
+        firsts = [prefix(x, *common.value) for x in sets]
+        lasts, counts = [int(x[-1]) if len(x) else None for x in firsts], [len(x) for x in firsts]
+        return pa.record_batch([batch.column(0), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(lasts, pa.int64()), pa.array(counts, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "last", "n_first", "first"])
+
+    prints = cut(map_batches(texts, ["id", "text"], run, "doc_id long, node long, size int, last long, n_first int, first array<long>"))
+    leaves = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "last", "n_first")]))
+    # Just (s, node), dealt once by s: the counts below read the same shuffle.
+    rows = prints.groupBy("node").agg(F.first("first").alias("first")).select("node", F.explode("first").alias("s")).repartition("s")
+    shared = rows.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("s", "n")
+    rows = cut(rows.join(shared, "s"))
+    a, b = SHARE
+    links, roots = None, None
+    label = lambda df: df.withColumn("root", F.col("node")) if roots is None else df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for k in range(HUB_ROUNDS):
+        crowded = label(rows.where(F.col("n") > most))
+        hubs = crowded.groupBy("s").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("hub"))
+        met = crowded.join(hubs, "s").where(F.col("root") != F.col("hub.root"))
+        pairs = cut(met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct())
+        if pairs.isEmpty():
+            break
+        new = cut(verified(pairs, leaves, texts, leaves_per_task))
+        links = new if links is None else links.unionByName(new)
+        roots = cut(components(links))
+    left = label(rows)
+    side = lambda p: left.select("s", F.col("node").alias(p), F.col("root").alias(f"{p}_root"))
+    met = side("u").join(side("v"), "s").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")))
+    counted = met.groupBy("u", "v").agg(F.count("*").alias("n"))
+    for p in "uv":
+        counted = counted.join(leaves.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("size", "last", "n_first")]), p)
+    # Of the set whose prefix ends first, all that is shared within the prefix is counted; all behind it may be shared.
+    behind = F.when(F.col("u_last") <= F.col("v_last"), F.col("u_size") - F.col("u_n_first")).otherwise(F.col("v_size") - F.col("v_n_first"))
+    likely = counted.where((a + b) * (F.col("n") + behind) >= a * (F.col("u_size") + F.col("v_size"))).select("u", "v")
+    new = verified(cut(likely), leaves, texts, leaves_per_task)
+    sets = components(new if links is None else links.unionByName(new))
+    named = leaves.join(sets, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_node = cut(named.join(least, "root").select("node", "component_id"))
+    return prints.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")

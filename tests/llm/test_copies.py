@@ -107,6 +107,28 @@ def test_loose_copies(crowd, odd, none):
     assert simhash.group_loose_copies(none).collect() == []
 
 
+def shingle_sets(texts):
+    return {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in texts.items()}
+
+
+def lone_pairs(changed, n=250):
+    """Unrelated pairs of texts of 200 words, of which so many are changed, each for itself."""
+    rng, rows = random.Random(changed), []
+    for i in range(n):
+        words = [f"p{rng.randrange(10**9)}" for _ in range(200)]
+        other = list(words)
+        for k in rng.sample(range(10, 190, 10), changed):
+            other[k] = f"q{rng.randrange(10**9)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    return rows
+
+
+def test_every_lone_near_pair_is_found(spark):
+    rows = lone_pairs(4)  # 176 of 216 shingles: 0.81
+    got = {r.doc_id: r.component_id for r in simhash.group_loose_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def expected_left(rows):
     """(n_words, n_removed, digest) of each row, by definition."""
     first = {}
