@@ -129,6 +129,20 @@ def test_every_lone_near_pair_is_found(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_texts_under_the_share_stay_apart(spark, crowd):
+    rows = lone_pairs(5, 60)  # 171 of 221 shingles: 0.77
+    got = {r.doc_id: r.component_id for r in simhash.group_loose_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows}
+    texts = {r.doc_id: r.text for r in crowd.collect()}
+    sets = shingle_sets(texts)
+    label = {i: i for i in texts}
+    for a, b in combinations(sorted(texts), 2):
+        if label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            label = {i: min(label[a], label[b]) if x in (label[a], label[b]) else x for i, x in label.items()}
+    for most in (30, 2):
+        assert {r.doc_id: r.component_id for r in simhash.group_loose_copies(crowd, most=most).collect()} == label
+
+
 def expected_left(rows):
     """(n_words, n_removed, digest) of each row, by definition."""
     first = {}
