@@ -73,15 +73,15 @@ def places(rows: DataFrame, offsets: list[tuple[int, ...]], overlap: int) -> Dat
 
 
 def item_seeds(items: DataFrame, offsets: list[tuple[int, ...]]) -> DataFrame:
-    """h, item_id, item and item_place of every mask at every place of an item where all it picks is there.
+    """h, item_id, item_hash, item and item_place of every mask at every place of an item where all it picks is there.
 
     An item shorter than the masks has just the one of its own length.
     """
     n, out = F.size("item"), None
     for i, own in enumerate(offsets):
         fits = n == len(own) if i >= len(MASKS) else n > own[-1]
-        spread = items.where(fits).select("item_id", "item", F.col("item").alias("part"), F.explode(F.sequence(F.lit(0), n - 1 - own[-1])).alias("item_place"))
-        seeds = spread.select(seed(F.col("item_place"), F.lit(i), offsets).alias("h"), "item_id", "item", "item_place")
+        spread = items.where(fits).select("item_id", "item_hash", "item", F.col("item").alias("part"), F.explode(F.sequence(F.lit(0), n - 1 - own[-1])).alias("item_place"))
+        seeds = spread.select(seed(F.col("item_place"), F.lit(i), offsets).alias("h"), "item_id", "item_hash", "item", "item_place")
         out = seeds if out is None else out.unionByName(seeds)
     return out.distinct()
 
@@ -94,7 +94,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     a stretch), stretch (its length), n_hits (seed hits that led to it).
     """
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), tokens(F.regexp_replace(F.col(f"`{item_text_col}`"), f"^{PARTS}|{PARTS}$", "")).alias("toks")).distinct()
-    items = items.where(F.size("toks") >= SHORTEST).select("item_id", F.col("toks").alias("item"))
+    items = items.where(F.size("toks") >= SHORTEST).select("item_id", F.xxhash64("toks").alias("item_hash"), F.col("toks").alias("item"))
     # At most SPAN lengths of short items, and the greatest of all.
     sizes = items.agg(F.sort_array(F.collect_set(F.when(F.size("item") < SPAN, F.size("item")))).alias("short"), F.coalesce(F.max(F.size("item")), F.lit(0)).alias("longest")).first()
     offsets, longest = picks(sizes["short"]), sizes["longest"]
@@ -106,17 +106,22 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     start = F.col("place") - F.col("item_place")
     low = F.greatest(start, F.lit(0))
     laid = F.slice("part", low - F.col("base") + 1, F.least(start + F.size("item"), F.col("n_toks")) - low)
+    # An item's id may be null or have several texts: its hash is a key too.
+    key = ["doc_id", "text_hash", "item_id", "item_hash", "start"]
     if seeds.count() <= MOST_BROADCAST:
-        hits = spread.join(F.broadcast(seeds), "h").select("doc_id", "text_hash", "item_id", "item", start.alias("start"), laid.alias("laid"))
+        hits = spread.join(F.broadcast(seeds), "h").select("doc_id", "text_hash", "item_id", "item_hash", "item", start.alias("start"), laid.alias("laid"))
+        # The arrays are no grouping keys: conditions on them would move into the join and keep it from being compiled with what feeds it.
+        once = hits.groupBy(*key).agg(F.count("*").alias("n_hits"), F.first("item").alias("item"), F.first("laid").alias("laid"))
     else:
-        thin = seeds.select("h", "item_id", "item_place", F.size("item").alias("n"))
-        found = spread.select("doc_id", "text_hash", "place", "h").join(thin, "h").select("doc_id", "text_hash", "item_id", start.alias("start")).distinct()
+        thin = seeds.select("h", "item_id", "item_hash", "item_place")
+        found = spread.select("doc_id", "text_hash", "place", "h").join(thin, "h").select("doc_id", "text_hash", "item_id", "item_hash", start.alias("start"))
+        found = found.groupBy(*key).agg(F.count("*").alias("n_hits"))
         again = rows.dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "th")
-        met = found.join(again, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th"))).join(items.select("item_id", "item"), "item_id")
+        met = found.join(again, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
+        whole = items.select(F.col("item_id").alias("own_id"), F.col("item_hash").alias("own_hash"), "item")
+        met = met.join(whole, F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("item_hash") == F.col("own_hash")))
         low = F.greatest("start", F.lit(0))
-        hits = met.select("doc_id", "text_hash", "item_id", "item", "start", F.slice("toks", low + 1, F.least(F.col("start") + F.size("item"), F.size("toks")) - low).alias("laid"))
-    # The arrays are no grouping keys: conditions on them would move into the join and keep it from being compiled with what feeds it.
-    once = hits.groupBy("doc_id", "text_hash", "item_id", "start").agg(F.count("*").alias("n_hits"), F.first("item").alias("item"), F.first("laid").alias("laid"))
+        once = met.select(*key, "n_hits", "item", F.slice("toks", low + 1, F.least(F.col("start") + F.size("item"), F.size("toks")) - low).alias("laid"))
     pairs = F.zip_with("laid", F.slice("item", F.greatest(-F.col("start"), F.lit(0)) + 1, F.size("laid")), lambda a, b: F.when(a == b, 1).otherwise(0))
     compared = once.select("doc_id", "text_hash", "item_id", "start", "n_hits", pairs.alias("same"), F.least(F.lit(WINDOW), F.size("item")).alias("stretch")).where(F.size("same") >= F.col("stretch"))
     windows = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("stretch")), lambda i: F.aggregate(F.slice("same", i + 1, F.col("stretch")), F.lit(0), lambda a, x: a + x))

@@ -248,3 +248,23 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.drop_contaminated(odd, bench.limit(0)).count() == 12
     orphan = spark.createDataFrame([(1, "text without any id that still has to be read like all")], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.find(odd, orphan).collect()] == [None]
+
+
+def test_decontamination_by_broadcast_and_shuffle(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = [f"t{i}" for i in range(900)]
+    texts = [rng.choices(vocabulary, k=n) for n in (30, 24, 20, 15, 15)]
+    # Null ids, and two texts under one id.
+    ids = (0, 1, None, 7, 7)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts)], "item_id long, text string")
+    docs = [(k, " ".join(rng.choices(vocabulary, k=30) + texts[k % 5] + rng.choices(vocabulary, k=20 * (k % 3)))) for k in range(10)]
+    frame = spark.createDataFrame([*docs, (None, docs[0][1])], "doc_id long, text string")
+    paths = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+        paths.append(sorted(map(tuple, decontaminate.find(frame, bench).collect()), key=str))
+    assert paths[0] == paths[1]
+    assert {(r[0], r[1]) for r in paths[0]} == {(k, ids[k % 5]) for k in range(10)} | {(None, 0)}
+    # Every seed of an item found whole is a hit.
+    hits = {r[0]: r[-1] for r in paths[0]}
+    assert all(hits[k] >= 2 * (len(texts[k % 5]) - decontaminate.SPAN + 1) for k in range(10))
