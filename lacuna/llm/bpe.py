@@ -51,7 +51,7 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encodes and decodes as the tokenizer file says."""
 
-    def __init__(self, config: str, cache: int = 50_000):
+    def __init__(self, config: str, cache: int = 24 << 20):
         spec = json.loads(config)
         model = spec["model"]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -74,9 +74,10 @@ class Codec:
         # White space never is in a word, so that replacing runs of it by one space changes no word.
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.marks = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.words = TwoAgeCache(self.packed, cache)
-        #: What stands between white space -> its ids and tokens
+        #: What stands between white space -> its packed ids
         self.chunks = TwoAgeCache(self.joined, cache)
+        #: The same of the words in the chunks at hand
+        self.words: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Words of one stretch without special tokens."""
@@ -85,9 +86,9 @@ class Codec:
         return self.word.findall(text.lower())
 
     def prepare(self, words: Iterable[str]) -> None:
-        """Merge the words that the cache lacks, many at a time."""
+        """Merge distinct words, many at a time."""
         cache = self.words
-        new = [w for w in {*words} if w not in cache and w not in cache.old and w not in self.special]
+        new = [w for w in {*words} if w not in self.special]
         short, data = [], []
         for word in new:
             raw = word.encode()
@@ -103,16 +104,16 @@ class Codec:
                 for i, ids in zip(part, self.merge_rows([data[i] for i in part], width)):
                     cache[short[i]] = self.entry(ids)
 
-    def joined(self, chunk: str) -> tuple[bytes, str]:
+    def joined(self, chunk: str) -> bytes:
         if chunk in self.special:
             return self.entry([self.special[chunk]])
-        found = [x for w in self.pieces(chunk) if (x := self.words[w])[0]]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        look = self.words.get
+        return b"".join([look(w) or self.packed(w) for w in self.pieces(chunk)])
 
-    def entry(self, ids: list[int]) -> tuple[bytes, str]:
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.tokens.__getitem__, ids))
+    def entry(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def packed(self, word: str) -> tuple[bytes, str]:
+    def packed(self, word: str) -> bytes:
         if word in self.special:
             return self.entry([self.special[word]])
         raw = word.encode()
@@ -193,18 +194,23 @@ class Codec:
             return [text] if SEPARATORS.search(text) else text.split()
         return [w for part in (self.marks.split(text) if self.marks else [text]) for w in ([part] if part in self.special or SEPARATORS.search(part) else part.split())]
 
-    def encode_many(self, texts: Sequence[str]) -> Iterable[tuple[bytes, str]]:
-        """Of each text the ids as little-endian unsigned 32-bit numbers, and their tokens joined by a space."""
+    def encode_many(self, texts: Sequence[str]) -> Iterable[bytes]:
+        """Of each text the ids as little-endian unsigned 32-bit numbers."""
         chunks, special = self.chunks, self.special
         for start, end in slices(texts):
             split = [self.split(x) for x in texts[start:end]]
-            new = [c for c in {*chain.from_iterable(split)} if c not in chunks and c not in chunks.old]
+            # All that the slice needs is held until its end, whatever the cache drops meanwhile.
+            held = {c: x for c in {*chain.from_iterable(split)} if (x := chunks.find(c)) is not None}
+            new = [c for c in {*chain.from_iterable(split)} if c not in held]
             self.prepare(w for c in new if c not in special for w in self.pieces(c))
+            for c in new:
+                held[c] = self.joined(c)
+                chunks.put(c, held[c])
             for own in split:
-                found = list(map(chunks.__getitem__, own))
-                yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+                yield b"".join(map(held.__getitem__, own))
+            self.words.clear()
 
-    def encode(self, text: str) -> tuple[bytes, str]:
+    def encode(self, text: str) -> bytes:
         return next(iter(self.encode_many([text])))
 
     def decode(self, ids: bytes) -> str:
@@ -229,7 +235,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         one = codec(config.value)
         out = list(one.encode_many([x or "" for x in batch.column(1).to_pylist()]))
-        return pa.record_batch([batch.column(0).cast(pa.int64()), pa.array([len(x[0]) // 4 for x in out], pa.int64()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        return pa.record_batch([batch.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary()), pa.array([one.decode(x) for x in out], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return map_batches(docs, [id_col, text_col], run, SCHEMA)
 
@@ -241,10 +247,10 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         one = codec(config.value)
         sizes, ids, texts = [], [], []
-        for packed, decoded in one.encode_many([x or "" for x in batch.column(1).to_pylist()]):
+        for packed in one.encode_many([x or "" for x in batch.column(1).to_pylist()]):
             sizes.append(len(packed) // 4)
             ids.append(hashlib.sha256(packed).hexdigest())
-            texts.append(hashlib.sha256(decoded.encode()).hexdigest())
+            texts.append(hashlib.sha256(one.decode(packed).encode()).hexdigest())
         return pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(docs, [id_col, text_col], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

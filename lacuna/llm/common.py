@@ -18,27 +18,44 @@ ROWS = 512
 
 
 class TwoAgeCache(dict):
-    """A dict that computes missing values and keeps about ``2 * limit`` of them.
+    """A dict that computes missing values and keeps about ``2 * most_bytes`` of keys and values.
 
     When the young half is full it becomes the old half; values found in the
     old half move back, so that frequent keys stay. Lookups of present keys run
-    at the speed of a plain dict.
+    at the speed of a plain dict. Keys longer than ``longest`` are not kept.
     """
 
-    def __init__(self, compute: Callable, limit: int = 50_000):
+    #: What an entry takes besides the characters of its key and of what its value holds.
+    ENTRY = 200
+
+    def __init__(self, compute: Callable, most_bytes: int = 8 << 20, longest: int = 64):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.most_bytes, self.longest, self.held, self.old = compute, most_bytes, longest, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        self[key] = value
+        self.put(key, value)
+        return value
+
+    def find(self, key):
+        """The value if it is kept, else None; one from the old half moves back."""
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if len(key) > self.longest:
+            return
+        if self.held >= self.most_bytes:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+
 
 def release() -> None:
     """Give memory that is free but held back to the system: workers live on from one task to the next."""

@@ -96,26 +96,17 @@ def distance(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return bits if values.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
 
 
-def trie_join(group: np.ndarray, values: np.ndarray, front: int, budget: int = BUDGET, few: int = FEW) -> np.ndarray:
-    """Label (least index) of each leaf's connected set; leaves are sorted by group and value.
-
-    Leaves of a group agree on their first ``front`` bits. A node is a range of
-    leaves; its second child starts where the next bit turns to one. ``values``
-    has one 64-bit word for each leaf, or a row of several.
+def traverse(group: np.ndarray, values: np.ndarray, label: np.ndarray, front: int, budget: int, few: int = FEW):
+    """Yield (a, b, differing bits) of leaves of one group within the budget of each other.
+
+    Leaves are sorted by group and value, and agree on the first ``front`` bits
+    of their group. A node is a range of leaves; its second child starts where
+    the next bit turns to one. ``values`` has one 64-bit word for each leaf, or
+    a row of several. Pairs of nodes whose leaves all have one label are left
+    out; the caller may merge labels between two steps.
     """
-    n = len(values)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    words = values.reshape(n, -1)
+    words = values.reshape(len(values), -1)
     total = BITS * words.shape[1]
-    # Neighbours in a few orders are linked first, so that crowded subtrees are known to be connected before they are traversed.
-    for left in range(0, BITS, 8):
-        order = np.lexsort((*(rotate(w, left) for w in np.roll(words, left // 8, axis=1).T), group))
-        for gap in (1, 2):
-            a, b = order[:-gap], order[gap:]
-            near = (group[a] == group[b]) & (distance(values, a, b) <= budget)
-            settle(label, a[near], b[near])
     edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     lo, hi = edges[:-1], edges[1:]
     big = hi - lo > 1
@@ -138,10 +129,12 @@ def trie_join(group: np.ndarray, values: np.ndarray, front: int, budget: int = B
             place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             wide = np.repeat(width, count)
             a, b = np.repeat(alo[small], count) + place // wide, np.repeat(blo[small], count) + place % wide
-            ahead = a < b
+            ahead = (a < b) & (label[a] != label[b])
             a, b = a[ahead], b[ahead]
-            near = distance(values, a, b) <= budget
-            settle(label, a[near], b[near])
+            bits = distance(values, a, b)
+            near = bits <= budget
+            if near.any():
+                yield a[near], b[near], bits[near]
             alo, ahi, blo, bhi, spent = (x[~small] for x in (alo, ahi, blo, bhi, spent))
         if depth >= total or not len(alo):
             continue
@@ -160,6 +153,22 @@ def trie_join(group: np.ndarray, values: np.ndarray, front: int, budget: int = B
         left = (ahi > alo) & (bhi > blo) & (spent <= budget) & ~((alo == blo) & (ahi - alo == 1))
         if left.any():
             stack.append((depth + 1, *(x[left] for x in (alo, ahi, blo, bhi, spent))))
+
+
+def trie_join(group: np.ndarray, values: np.ndarray, front: int, budget: int = BUDGET, few: int = FEW) -> np.ndarray:
+    """Label (least index) of each leaf's connected set; for ``group``, ``values`` and ``front`` see ``traverse``."""
+    label = np.arange(len(values))
+    if len(values) < 2:
+        return label
+    # Neighbours in a few orders are linked first, so that crowded subtrees are known to be connected before they are traversed.
+    for left in range(0, BITS, 8):
+        order = np.lexsort((rotate(values, left), group))
+        for gap in (1, 2):
+            a, b = order[:-gap], order[gap:]
+            near = (group[a] == group[b]) & (distance(values, a, b) <= budget)
+            settle(label, a[near], b[near])
+    for a, b, _ in traverse(group, values, label, front, budget, few):
+        settle(label, a, b)
     return label
 
 
@@ -204,18 +213,21 @@ def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- looser copies ---------------------------------------------------------
+# ---- near copies by similarity ----------------------------------------------
 SHINGLE = 5
 #: Near copies have at least this share (a / b) of their distinct shingles in common.
 SHARE = (4, 5)
+#: Words of a wide fingerprint, and the bits in which those of near copies may differ: 39 of 256 are to be expected at the share, with a deviation of 6.
+WIDE, WIDE_BUDGET = 4, 72
+TURNS = (np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 #: Texts in which shingles are counted, and how many of them a common one is in. Only the order of shingles, and so the time, depends on these.
-SAMPLE, OFTEN, MOST_COMMON = 20_000, 3, 200_000
-#: Rounds in which crowded shingles meet one of their texts only.
-HUB_ROUNDS = 2
-#: More ids than this of texts to be compared are not broadcast.
-MOST_IDS = 500_000
+SAMPLE, OFTEN, MOST_COMMON = 10_000, 3, 200_000
+#: More keys than this of texts to be compared are not broadcast.
+MOST_KEYS = 200_000
 #: Sets of shingles a worker keeps, in shingles.
-HELD = 4_000_000
+HELD = 2_000_000
+#: Leaf pairs held before they are thinned to a forest.
+PAIRS_HELD = 1 << 20
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -236,6 +248,18 @@ def name_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
 
 
+def wide_print(own: np.ndarray) -> np.ndarray:
+    """A set's fingerprint of ``WIDE`` words: a bit is set where over half of the shingles' mixed hashes have it."""
+    counts = np.zeros(BITS * WIDE, np.int64)
+    for at in range(0, len(own), PIECE):
+        x = own[at : at + PIECE].view(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93) + TURNS
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0x9FB21C651E98DF25)
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(own), bitorder="little").view(np.int64)
+
+
 def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first of a set's shingles, common ones last by rank: two sets that are near copies share one of these at least."""
     order = own.copy()
@@ -248,120 +272,195 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return order[: len(own) - -(-a * len(own) // b) + 1] if len(own) else order
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that a sample of texts has often, and their ranks from the rarest on."""
-    step = max(1, docs.count() // SAMPLE)
+    step = max(1, texts.count() // SAMPLE)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([pa.array(np.concatenate([shingles(x) for x in batch.column(0).to_pylist()]))], names=["s"])
 
-    sample = docs.where(F.pmod(F.xxhash64(f"`{id_col}`"), F.lit(step)) == 0)
-    often = map_batches(sample, [text_col], run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    found = np.array([r.s for r in often.orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()], np.int64)
+    sample = texts.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0)
+    often = map_batches(sample, ["text"], run, "s long").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = often.orderBy(F.desc("n"), "s").limit(MOST_COMMON).select("s").toArrow().column("s").to_numpy()
     order = np.argsort(found)
     return found[order], len(found) - 1 - order
 
 
-def verified(pairs: DataFrame, leaves: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """The pairs (u, v) of sets that have SHARE of their shingles in common, counted on their texts; ``most`` pairs a task."""
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the lightest links that connect all that the links connect, besides what has one label already."""
+    label, weight = label.copy(), bits.astype(np.int64) << 40 | np.arange(len(a))
+    kept, open_ = [], np.arange(len(a))
+    while True:
+        x, y = label[a[open_]], label[b[open_]]
+        differ = x != y
+        open_, x, y = open_[differ], x[differ], y[differ]
+        if not len(open_):
+            return np.concatenate(kept) if kept else open_
+        # Every set takes its lightest link to another one.
+        least = np.full(len(label), np.iinfo(np.int64).max)
+        np.minimum.at(least, x, weight[open_])
+        np.minimum.at(least, y, weight[open_])
+        taken = np.unique(least[np.unique(np.concatenate([x, y]))]) & (1 << 40) - 1
+        kept.append(taken)
+        settle(label, a[taken], b[taken])
+
+
+def candidates(cells: DataFrame, tasks: int, all_pairs: bool) -> DataFrame:
+    """(u, v): sets in one cell, of different roots, with sizes and wide fingerprints that near copies may have.
+
+    All such pairs, or else of each task the closest that connect the same sets.
+    """
     a, b = SHARE
-    side = lambda c: leaves.select(F.col("node").alias(c), F.col("least").alias(f"{c}i"), F.col("size").alias(f"{c}s"))
-    named = pairs.join(side("u"), "u").join(side("v"), "v").where(b * F.least("us", "vs") >= a * F.greatest("us", "vs"))
-    named = cut(named.select("u", "v", "ui", "vi"))
-    tasks = -(-named.count() // most)
-    needed = cut(named.select(F.col("ui").alias("id")).unionByName(named.select(F.col("vi").alias("id"))).distinct())
-    # Few ids are broadcast, so that the other texts stay where they are.
-    needed = F.broadcast(needed) if needed.count() <= MOST_IDS else needed
-    # Rows of one id may have several texts; the one meant is known by its name.
-    own = cut(texts.join(needed, "id", "left_semi").dropDuplicates(["id", "text"]))
-    both = named.join(own.select(F.col("id").alias("ui"), F.col("text").alias("ut")), "ui").join(own.select(F.col("id").alias("vi"), F.col("text").alias("vt")), "vi")
+
+    def run(table: pa.Table) -> pa.Table:
+        get = lambda c: table.column(c).to_numpy()
+        values = np.stack([get(f"f{i}") for i in range(WIDE)], axis=1).view(np.uint64)
+        order = np.lexsort((*values.T[::-1], get("cell")))
+        cell, node, root, size, values = (x[order] for x in (get("cell"), get("node"), get("root"), get("size"), values))
+        first, place = np.unique(root, return_index=True, return_inverse=True)[1:]
+        label = first[place]
+        held, count, us, vs = [], 0, [], []
+
+        def thin() -> None:
+            x, y, bits = (np.concatenate(p) for p in zip(*held))
+            stay = forest(label, x, y, bits)
+            held[:] = [(x[stay], y[stay], bits[stay])]
+
+        for x, y, bits in traverse(cell, values, label, 0, WIDE_BUDGET):
+            alike = b * np.minimum(size[x], size[y]) >= a * np.maximum(size[x], size[y])
+            x, y, bits = x[alike], y[alike], bits[alike]
+            if all_pairs:
+                us.append(np.minimum(node[x], node[y]))
+                vs.append(np.maximum(node[x], node[y]))
+                continue
+            held.append((x, y, bits))
+            count += len(x)
+            if count > PAIRS_HELD:
+                thin()
+                count = len(held[0][0])
+        if held:
+            thin()
+            x, y, _ = held[0]
+            us, vs = [np.minimum(node[x], node[y])], [np.maximum(node[x], node[y])]
+        none = np.zeros(0, np.int64)
+        found = np.unique(np.stack([np.concatenate([none, *us]), np.concatenate([none, *vs])]), axis=1)
+        release()
+        return pa.table({"u": found[0], "v": found[1]})
+
+    dealt = cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int"))
+    return dealt.groupBy("task").applyInArrow(run, "u long, v long").distinct()
+
+
+def verified(pairs: DataFrame, leaves: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of sets that have SHARE of their shingles in common, counted on whole texts."""
+    a, b = SHARE
+    side = lambda c: leaves.select(F.col("node").alias(c), F.col("least.key").alias(f"{c}k"))
+    named = cut(pairs.join(side("u"), "u").join(side("v"), "v"))
+    needed = cut(named.select(F.col("uk").alias("key")).unionByName(named.select(F.col("vk").alias("key"))).distinct())
+    # Few keys are broadcast, so that the other texts stay where they are.
+    needed = F.broadcast(needed) if needed.count() <= MOST_KEYS else needed
+    own = texts.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    both = named.join(own.select(F.col("key").alias("uk"), F.col("text").alias("ut")), "uk").join(own.select(F.col("key").alias("vk"), F.col("text").alias("vt")), "vk")
 
     def run(batches):
         kept, size = {}, 0
 
-        def of(text: str):
+        def of(key: str, text: pa.Scalar) -> np.ndarray:
             nonlocal size
-            key = xxhash.xxh3_128_digest((text or "").encode())
             if key not in kept:
-                own = shingles(text)
                 if size > HELD:
                     kept.clear()
                     size = 0
-                kept[key] = own, name_of(own)
-                size += len(own) + 50
+                kept[key] = shingles(text.as_py())
+                size += len(kept[key]) + 50
             return kept[key]
 
         for batch in batches:
-            us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
-            for u, v, x, y in zip(us, vs, batch.column(2), batch.column(3)):
-                (x, un), (y, vn) = of(x.as_py()), of(y.as_py())
-                if (un, vn) == (u, v):
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(b * same >= a * (len(x) + len(y) - same))
-                else:
-                    good.append(False)
+            for u, v, ut, vt in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                x, y = of(u, ut), of(v, vt)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(b * same >= a * (len(x) + len(y) - same))
             keep = pa.array(good, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
         kept.clear()
         release()
 
-    both = both.select("u", "v", "ut", "vt")
-    return (both.repartition(tasks) if tasks > 1 else both).mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "uk", "vk", "ut", "vt").mapInArrow(run, "u long, v long")
 
 
-def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 30, leaves_per_task: int = 100_000) -> DataFrame:
-    """(doc_id, component_id) of near copies: texts with 0.8 of their distinct five-word shingles in common, and what these connect.
+def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 512, leaves_per_task: int = 20_000) -> DataFrame:
+    """Near copies: texts with 0.8 of their distinct five-word shingles in common, and what these connect.
 
-    The join is exact (to hashes of 62 bits) for any number of rows. Shingles
-    are put in one order; of a set of n, the first n - ceil(0.8 n) + 1 are
-    joined, of which two near copies always share one. A pair goes on if the
-    shingles shared there leave it enough of the others, and is a link if its
-    texts, compared whole, have 0.8 in common. Where a shingle is in more than
-    ``most`` sets, these meet one of their number first, and later only those
-    that are not known to be connected. Rows without an id are left out.
+    Per distinct document (id and text): doc_id, key (its text's digest),
+    component_id (least id of the component, null if none has one), n (equal
+    rows) and first (true for one document of each component: the least id,
+    then key).
+
+    Shingles are put in one order, rare ones first; of a set of n, the first
+    n - ceil(0.8 n) + 1 are its prefix, and two near copies always share a
+    shingle there. Each shingle that several sets share is the front of a trie
+    over the wide fingerprints of these sets, which is joined with itself under
+    the Hamming budget. A pair found is a link if the texts, compared whole,
+    have 0.8 in common. Shingles that the same sets share count once. A first
+    round takes of each cell (at most about ``most`` sets that share a shingle)
+    just the closest pairs that connect it; in the second, sets that are known
+    to be connected are left out, and all others that share a shingle meet, in
+    as many cells as that takes.
     """
-    known = docs.where(F.col(f"`{id_col}`").isNotNull())
-    texts = known.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    common = known.sparkSession.sparkContext.broadcast(common_shingles(texts, "id", "text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
+    words = [f"f{i}" for i in range(WIDE)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(x) for x in batch.column(1).to_pylist()]
+        sets = [shingles(x) for x in batch.column(2).to_pylist()]
+        prints = np.stack([wide_print(x) for x in sets])
         firsts = [prefix(x, *common.value) for x in sets]
-        lasts, counts = [int(x[-1]) if len(x) else None for x in firsts], [len(x) for x in firsts]
-        return pa.record_batch([batch.column(0), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(lasts, pa.int64()), pa.array(counts, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "last", "n_first", "first"])
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), *[pa.array(x) for x in prints.T], pa.array(firsts, pa.list_(pa.int64()))], names=["id", "key", "node", "size", *words, "firsts"])
 
-    prints = cut(map_batches(texts, ["id", "text"], run, "doc_id long, node long, size int, last long, n_first int, first array<long>"))
-    leaves = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "last", "n_first")]))
+    prints = cut(map_batches(texts, ["id", "key", "text"], run, f"id long, key string, node long, size int, {', '.join(f'{w} long' for w in words)}, firsts array<long>"))
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("least")
+    leaves = cut(prints.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("size", *words)]))
     # Just (s, node), dealt once by s: the counts below read the same shuffle.
-    rows = prints.groupBy("node").agg(F.first("first").alias("first")).select("node", F.explode("first").alias("s")).repartition("s")
-    shared = rows.groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("s", "n")
-    rows = cut(rows.join(shared, "s"))
-    a, b = SHARE
-    links, roots = None, None
-    label = lambda df: df.withColumn("root", F.col("node")) if roots is None else df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    for k in range(HUB_ROUNDS):
-        crowded = label(rows.where(F.col("n") > most))
-        hubs = crowded.groupBy("s").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("hub"))
-        met = crowded.join(hubs, "s").where(F.col("root") != F.col("hub.root"))
-        pairs = cut(met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct())
-        if pairs.isEmpty():
-            break
-        new = cut(verified(pairs, leaves, texts, leaves_per_task))
-        links = new if links is None else links.unionByName(new)
-        roots = cut(components(links))
-    left = label(rows)
-    side = lambda p: left.select("s", F.col("node").alias(p), F.col("root").alias(f"{p}_root"))
-    met = side("u").join(side("v"), "s").where((F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")))
-    counted = met.groupBy("u", "v").agg(F.count("*").alias("n"))
-    for p in "uv":
-        counted = counted.join(leaves.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("size", "last", "n_first")]), p)
-    # Of the set whose prefix ends first, all that is shared within the prefix is counted; all behind it may be shared.
-    behind = F.when(F.col("u_last") <= F.col("v_last"), F.col("u_size") - F.col("u_n_first")).otherwise(F.col("v_size") - F.col("v_n_first"))
-    likely = counted.where((a + b) * (F.col("n") + behind) >= a * (F.col("u_size") + F.col("v_size"))).select("u", "v")
-    new = verified(cut(likely), leaves, texts, leaves_per_task)
-    sets = components(new if links is None else links.unionByName(new))
-    named = leaves.join(sets, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = cut(named.join(least, "root").select("node", "component_id"))
-    return prints.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
+    rows = prints.groupBy("node").agg(F.first("firsts").alias("firsts")).select("node", F.explode("firsts").alias("s")).repartition("s")
+    members = rows.groupBy("s").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("of")).where("n > 1")
+    once = members.groupBy("of", "n").agg(F.min("s").alias("s"))
+    shared = cut(rows.join(once, "s").select("s", "node", "n"))
+    whole = shared.join(leaves.select("node", "size", *words), "node")
+    tasks = max(1, -(-shared.count() // leaves_per_task))
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most))
+    cells = whole.withColumn("cell", F.xxhash64("s", chunk)).withColumn("root", F.col("node"))
+    links = cut(verified(candidates(cells, tasks, False), leaves, texts))
+    roots = cut(components(links))
+    whole = whole.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    cells, n = meetings(cut(whole), most)
+    links = links.unionByName(verified(candidates(cells, max(1, -(-n // leaves_per_task)), True), leaves, texts))
+    sets = components(links)
+    named = leaves.select("node", "least").join(sets, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = named.groupBy("root").agg(F.min("least").alias("head"))
+    by_node = cut(named.join(heads, "root").select("node", "head"))
+    documents = prints.groupBy("id", "key").agg(F.first("node").alias("node"), F.count("*").alias("n"))
+    out = documents.join(by_node, "node")
+    return out.select(F.col("id").alias("doc_id"), "key", F.col("head.id").alias("component_id"), "n", (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))).alias("first"))
+
+
+def meetings(whole: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Cells in which all sets that share a shingle meet, but for those of its commonest root among themselves; and their rows.
+
+    The sets of the commonest root are dealt to cells, and so are the others;
+    each cell of the one kind meets each of the other, and others meet others.
+    """
+    by_root = whole.groupBy("s", "root").agg(F.count("*").alias("k"))
+    crowds = by_root.groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"), F.count("*").alias("roots"))
+    crowds = crowds.where("roots > 1").select("s", "main", F.ceil(F.col("k") / most).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("k")) / most).cast("int").alias("others"))
+    met = whole.drop("n").join(crowds, "s")
+    own_main, own_other = F.pmod(F.xxhash64("node"), F.col("mains")).cast("int"), F.pmod(F.xxhash64("node"), F.col("others")).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    with_main = F.when(F.col("root") == F.col("main"), F.transform(upto("others"), lambda j: pair(0, own_main, j))).otherwise(F.transform(upto("mains"), lambda i: pair(0, i, own_other)))
+    with_others = F.when(F.col("root") == F.col("main"), F.array().cast("array<struct<kind:int,i:int,j:int>>")).otherwise(F.transform(upto("others"), lambda j: pair(1, F.least(own_other, j), F.greatest(own_other, j))))
+    # A single cell holds all where there are few.
+    one = (F.col("mains") == 1) & (F.col("others") == 1)
+    dealt = met.withColumn("c", F.explode(F.when(one, F.array(pair(0, F.lit(0), F.lit(0)))).otherwise(F.concat(with_main, with_others))))
+    cells = cut(dealt.select("node", "root", "size", *[f"f{i}" for i in range(WIDE)], F.xxhash64("s", "c").alias("cell")))
+    return cells, cells.count()

@@ -54,7 +54,7 @@ DOCS_PER_BUCKET, BYTES_PER_BUCKET, BYTES_PER_SHARD = 1024, 4 << 20, 12 << 20
 POWERS = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64))
 PIECES = "shard int, bucket int, data binary"
 
-_words = TwoAgeCache(lambda w: xxhash.xxh64_intdigest(w) >> 16, 120_000)
+_words = TwoAgeCache(lambda w: xxhash.xxh64_intdigest(w) >> 16, 12 << 20)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

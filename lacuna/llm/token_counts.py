@@ -73,7 +73,7 @@ def fields(data: bytes):
 class Counter:
     """Counts tokens under one vocabulary."""
 
-    def __init__(self, model: bytes, cache: int = 100_000):
+    def __init__(self, model: bytes, cache: int = 16 << 20):
         scored, norm = [], {}
         for number, value in fields(model):
             if number == PIECES:
@@ -93,7 +93,7 @@ class Counter:
         self.beside = {piece[i : i + 2] for piece in self.rank for i in range(len(piece) - 1)}
         self.known = {piece for piece in self.rank if len(piece) == 1}
         self.cut = self.cutter()
-        self.words, self.parts = TwoAgeCache(self.chunk, cache), TwoAgeCache(self.part, cache)
+        self.words, self.parts = TwoAgeCache(self.chunk, cache), TwoAgeCache(self.part, cache // 2)
 
     def cutter(self) -> re.Pattern | None:
         """An expression for stretches that no entry joins: signs apart from words, both after their spaces."""
