@@ -29,13 +29,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id. Rows without an id stay.
+    """One document of each group of near copies: the one with the least id, then the least digest.
 
-    Near copies share about 0.8 of their five-word shingles or more.
+    Near copies share 0.8 of their five-word shingles or more. A document is a
+    row's id and text, so that rows of one id but other texts are judged each
+    for itself, and of equal rows one stays.
     """
-    groups = simhash.group_loose_copies(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    groups = simhash.group_loose_copies(docs).where("first").select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "n")
+    rows = docs.select(*COLUMNS, F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    stays = rows.join(groups, rows["doc_id"].cast("long").eqNullSafe(F.col("own_id")) & (rows["key"] == F.col("own_key")))
+    repeated = stays.where("n > 1").dropDuplicates(["own_id", "own_key"])
+    return stays.where("n = 1").unionByName(repeated).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
