@@ -1,22 +1,28 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
-Tokens are runs of letters and digits, lower-cased. A mask picks 6 tokens of 8
-and ignores the others, so that a hash of what it picks survives substitutions
-between; of any 13 tokens of which 2 are substituted, one of the two masks
-still finds an untouched place (checked by a test for all 78 pairs). Hashes of
-the documents' places are joined with those of the benchmark; around each hit
-the document's tokens are laid along the whole item, and the pair counts when
-some stretch of 13 tokens (of the whole item, if that is shorter) agrees in
-80 % or more. Items shorter than a mask, from 5 tokens up, are sought as they
-are; shorter ones cannot be told from chance and are never found.
+The rule: tokens are runs of letters and digits, lower-cased. A document holds
+an item if, laid along it at some place, 80 % or more of the tokens of some
+stretch of 13 agree (of the whole item, if that is shorter). So two of 13
+tokens may be substituted, two of 10 to 12, one of 5 to 9, and items of one to
+four tokens have to stand there as they are.
+
+The search: a mask picks some offsets and ignores the others, so that a hash of
+what it picks survives substitutions between. Two masks pick 6 of 8 tokens; of
+any 13 tokens of which 2 are substituted, one of them still finds an untouched
+place (checked by a test for all 78 pairs). Items under 13 tokens have masks of
+their own length: with s substitutions allowed, s + 1 masks share its offsets
+out in turn, of which one is untouched. The hashes of the documents' places are
+joined with those of the benchmark, and the tokens around each hit compared.
 
 The benchmark's hashes are broadcast if they are few (their number is counted
-first), else joined by a shuffle of hashes and places alone.
-
-Cases: a null text has no tokens; texts of any length are searched whole; null
-ids are reported as null; rows of one id but different texts are searched each
-for itself; repeated rows are reported once; columns not named are not read; an
-empty table or benchmark gives an empty result.
+first), else joined by a shuffle of hashes and places alone, whose large
+partitions Spark may split; either way gives the same rows.
+
+Cases: a null text has no tokens; texts and items of any length are searched
+whole; an item without tokens is in no document; null ids are reported as null;
+rows of one id but different texts are searched each for itself; repeated rows
+are reported once; columns not named are not read; an empty table or benchmark
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +33,12 @@ from pyspark.sql import functions as F
 #: Picked offsets of each mask.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
-WINDOW, SHARE, SHORTEST = 13, 0.8, 5
+WINDOW, SHARE = 13, (4, 5)
+#: Tokens to either side of a place that the comparison may need.
+REACH = SPAN + WINDOW
 #: Tokens of a text whose places one row holds before they are spread.
 CHUNK = 512
-#: More benchmark hashes than this (some 40 bytes each) are not broadcast.
+#: More benchmark hashes than this (some 40 bytes each, and the item's) are not broadcast.
 MOST_BROADCAST = 200_000
 PARTS = "[^\\p{L}\\p{N}]+"
 
@@ -40,9 +48,19 @@ def tokens(text: Column) -> Column:
     return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), PARTS), lambda x: F.xxhash64(x))
 
 
-def picks(lengths: list[int]) -> list[tuple[int, ...]]:
-    """Offsets of every mask, and of one for each length of items shorter than a mask."""
-    return [*MASKS, *(tuple(range(n)) for n in lengths)]
+def least_equal(n: int) -> int:
+    """Tokens that have to agree in a stretch of ``n``."""
+    a, b = SHARE
+    return -(-a * n // b)
+
+
+def picks(lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """(length of the items it is for, offsets) of every mask; length 0 stands for ``WINDOW`` and more."""
+    out = [(0, mask) for mask in MASKS]
+    for n in lengths:
+        turns = n - least_equal(n) + 1
+        out += [(n, tuple(range(i, n, turns))) for i in range(turns)]
+    return out
 
 
 def seed(place: Column, mask: Column, offsets: list[tuple[int, ...]]) -> Column:
@@ -54,8 +72,8 @@ def seed(place: Column, mask: Column, offsets: list[tuple[int, ...]]) -> Column:
     return out.otherwise(F.lit(0))
 
 
-def places(rows: DataFrame, offsets: list[tuple[int, ...]], overlap: int) -> DataFrame:
-    """One row for each place and mask: where it is (place) and what the mask picks there (h).
+def places(rows: DataFrame, offsets: list[tuple[int, ...]], overlap: int = REACH) -> DataFrame:
+    """One row for each place and mask: where it is (place), which mask, and what it picks there (h).
 
     ``toks`` becomes ``part``, tokens from ``base`` on that reach ``overlap``
     past the places of a row to either side, so that no row carries more than
@@ -69,65 +87,80 @@ def places(rows: DataFrame, offsets: list[tuple[int, ...]], overlap: int) -> Dat
     here = F.least(F.lit(CHUNK), F.col("n_toks") - F.col("first"))
     spread = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(here * len(offsets) - 1, F.lit(0)))))
     spread = spread.withColumn("place", F.col("first") + F.expr(f"CAST(at DIV {len(offsets)} AS INT)"))
-    return spread.withColumn("h", seed(F.col("place") - F.col("base"), F.col("at") % len(offsets), offsets)).drop("at", "first")
+    return spread.withColumn("h", seed(F.col("place") - F.col("base"), F.col("at") % len(offsets), offsets)).withColumn("mask", (F.col("at") % len(offsets)).cast("int")).drop("at", "first")
 
 
-def item_seeds(items: DataFrame, offsets: list[tuple[int, ...]]) -> DataFrame:
-    """h, item_id, item_hash, item and item_place of every mask at every place of an item where all it picks is there.
+def item_seeds(items: DataFrame, masks: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
+    """h, item_id, item_hash, item, item_place and mask, of every mask at every place of an item where all it picks is there.
 
-    An item shorter than the masks has just the one of its own length.
+    The masks of shorter items have their place at the item's start only.
     """
     n, out = F.size("item"), None
-    for i, own in enumerate(offsets):
-        fits = n == len(own) if i >= len(MASKS) else n > own[-1]
-        spread = items.where(fits).select("item_id", "item_hash", "item", F.col("item").alias("part"), F.explode(F.sequence(F.lit(0), n - 1 - own[-1])).alias("item_place"))
-        seeds = spread.select(seed(F.col("item_place"), F.lit(i), offsets).alias("h"), "item_id", "item_hash", "item", "item_place")
+    offsets = [own for _, own in masks]
+    for i, (length, own) in enumerate(masks):
+        fits = n == length if length else n >= WINDOW
+        last = F.lit(0) if length else n - 1 - own[-1]
+        spread = items.where(fits).select("item_id", "item_hash", "item", F.col("item").alias("part"), F.explode(F.sequence(F.lit(0), last)).alias("item_place"))
+        seeds = spread.select(seed(F.col("item_place"), F.lit(i), offsets).alias("h"), "item_id", "item_hash", "item", "item_place", F.lit(i).alias("item_mask"))
         out = seeds if out is None else out.unionByName(seeds)
     return out.distinct()
 
 
+def agreeing(part: Column, base: Column, place: Column, item: Column, item_place: Column, n_toks: Column) -> Column:
+    """Most equal tokens in a stretch that reaches a hit, the document's tokens laid along the item's."""
+    size = F.size(item)
+    stretch = F.least(F.lit(WINDOW), size)
+    # From how far before the hit to how far after it both have tokens.
+    before = F.least(F.lit(WINDOW - 1), place, item_place)
+    after = F.least(F.lit(REACH), n_toks - place, size - item_place)
+    theirs = F.slice(part, place - before - base + 1, before + after)
+    ours = F.slice(item, item_place - before + 1, before + after)
+    same = F.zip_with(theirs, ours, lambda a, b: F.when(a == b, 1).otherwise(0))
+    starts = F.when(before + after >= stretch, F.sequence(F.lit(0), before + after - stretch)).otherwise(F.array().cast("array<int>"))
+    return F.array_max(F.transform(starts, lambda i: F.aggregate(F.slice(same, i + 1, stretch), F.lit(0), lambda a, x: a + x)))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document text and benchmark item it holds.
 
     Columns: doc_id, item_id, text_hash (of the document's text), start (the
-    token at which the item's first would stand), matched (most equal tokens in
-    a stretch), stretch (its length), n_hits (seed hits that led to it).
+    token at which the item's first would stand; of the best stretches the
+    first), matched (most equal tokens in a stretch), stretch (its length),
+    n_hits (places and masks that led to it).
     """
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), tokens(F.regexp_replace(F.col(f"`{item_text_col}`"), f"^{PARTS}|{PARTS}$", "")).alias("toks")).distinct()
-    items = items.where(F.size("toks") >= SHORTEST).select("item_id", F.xxhash64("toks").alias("item_hash"), F.col("toks").alias("item"))
-    # At most SPAN lengths of short items, and the greatest of all.
-    sizes = items.agg(F.sort_array(F.collect_set(F.when(F.size("item") < SPAN, F.size("item")))).alias("short"), F.coalesce(F.max(F.size("item")), F.lit(0)).alias("longest")).first()
-    offsets, longest = picks(sizes["short"]), sizes["longest"]
-    seeds = item_seeds(items, offsets)
+    bare = F.regexp_replace(F.coalesce(F.col(f"`{item_text_col}`"), F.lit("")), f"^{PARTS}|{PARTS}$", "")
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), bare.alias("bare")).where("bare <> ''").select("item_id", tokens(F.col("bare")).alias("item")).distinct()
+    items = items.select("item_id", F.xxhash64("item").alias("item_hash"), "item")
+    # At most WINDOW - 1 lengths of short items.
+    short = items.agg(F.sort_array(F.collect_set(F.when(F.size("item") < WINDOW, F.size("item")))).alias("short")).first()["short"]
+    masks = picks(short)
+    offsets = [own for _, own in masks]
+    seeds = item_seeds(items, masks)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("toks"))
-    spread = places(rows, offsets, longest)
-    # Laid along the item: the document's tokens from where the item's first would stand.
-    start = F.col("place") - F.col("item_place")
-    low = F.greatest(start, F.lit(0))
-    laid = F.slice("part", low - F.col("base") + 1, F.least(start + F.size("item"), F.col("n_toks")) - low)
+    spread = places(rows, offsets)
+    spot = (F.col("place") * len(offsets) + F.col("mask")).alias("spot")
+    start = (F.col("place") - F.col("item_place")).alias("start")
     # An item's id may be null or have several texts: its hash is a key too.
-    key = ["doc_id", "text_hash", "item_id", "item_hash", "start"]
+    key = ["doc_id", "text_hash", "item_id", "item_hash"]
     if seeds.count() <= MOST_BROADCAST:
-        hits = spread.join(F.broadcast(seeds), "h").select("doc_id", "text_hash", "item_id", "item_hash", "item", start.alias("start"), laid.alias("laid"))
-        # The arrays are no grouping keys: conditions on them would move into the join and keep it from being compiled with what feeds it.
-        once = hits.groupBy(*key).agg(F.count("*").alias("n_hits"), F.first("item").alias("item"), F.first("laid").alias("laid"))
+        hits = spread.join(F.broadcast(seeds), "h").where("mask = item_mask")
+        judged = hits.select(*key, start, spot, F.size("item").alias("size"), agreeing(F.col("part"), F.col("base"), F.col("place"), F.col("item"), F.col("item_place"), F.col("n_toks")).alias("matched"))
     else:
-        thin = seeds.select("h", "item_id", "item_hash", "item_place")
-        found = spread.select("doc_id", "text_hash", "place", "h").join(thin, "h").select("doc_id", "text_hash", "item_id", "item_hash", start.alias("start"))
-        found = found.groupBy(*key).agg(F.count("*").alias("n_hits"))
-        again = rows.dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "th")
+        thin = seeds.drop("item")
+        found = spread.select("doc_id", "text_hash", "place", "mask", "h").join(thin, "h").where("mask = item_mask").select(*key, "place", "item_place", "mask").distinct()
+        again = rows.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), "toks").dropDuplicates(["id", "th"])
         met = found.join(again, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("th")))
         whole = items.select(F.col("item_id").alias("own_id"), F.col("item_hash").alias("own_hash"), "item")
         met = met.join(whole, F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("item_hash") == F.col("own_hash")))
-        low = F.greatest("start", F.lit(0))
-        once = met.select(*key, "n_hits", "item", F.slice("toks", low + 1, F.least(F.col("start") + F.size("item"), F.size("toks")) - low).alias("laid"))
-    pairs = F.zip_with("laid", F.slice("item", F.greatest(-F.col("start"), F.lit(0)) + 1, F.size("laid")), lambda a, b: F.when(a == b, 1).otherwise(0))
-    compared = once.select("doc_id", "text_hash", "item_id", "start", "n_hits", pairs.alias("same"), F.least(F.lit(WINDOW), F.size("item")).alias("stretch")).where(F.size("same") >= F.col("stretch"))
-    windows = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("stretch")), lambda i: F.aggregate(F.slice("same", i + 1, F.col("stretch")), F.lit(0), lambda a, x: a + x))
-    judged = compared.withColumn("matched", F.array_max(windows)).where(F.col("matched") >= F.ceil(F.col("stretch") * F.lit(SHARE)))
+        judged = met.select(*key, start, spot, F.size("item").alias("size"), agreeing(F.col("toks"), F.lit(0), F.col("place"), F.col("item"), F.col("item_place"), F.size("toks")).alias("matched"))
+    # A pair has no more spots than its item has places and masks; repeated rows have the same ones.
+    laid = judged.groupBy(*key, "start", "size").agg(F.max("matched").alias("matched"), F.size(F.collect_set("spot")).alias("n_hits"))
+    laid = laid.withColumn("stretch", F.least(F.lit(WINDOW), F.col("size")))
+    a, b = SHARE
+    held = laid.where(F.col("matched") * b >= F.col("stretch") * a)
     best = F.max(F.struct("matched", F.negate("start").alias("start"), "n_hits", "stretch"))
-    return judged.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select(
+    return held.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b")).select(
         "doc_id", "item_id", "text_hash", F.negate("b.start").alias("start"), F.col("b.matched").cast("int").alias("matched"), F.col("b.stretch").cast("int").alias("stretch"), F.col("b.n_hits").cast("long").alias("n_hits")
     )
 
@@ -139,23 +172,30 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def oracle() -> str:
-    """DuckDB SQL for the registered query, with texts in place of hashes."""
-    union = lambda table, key, more: " UNION ALL ".join(f"SELECT {key}, {more} i AS place, {m} AS mask, {' || chr(1) || '.join(f'toks[i + {o + 1}]' for o in own)} AS h FROM (SELECT *, unnest(range(0, len(toks) - {own[-1]})) AS i FROM {table})" for m, own in enumerate(MASKS))
+    """DuckDB SQL of the rule for the registered query, without masks.
+
+    If enough tokens of a stretch agree, so does some run of them without a
+    gap: with s gaps, a share of s + 1 of those that have to agree. Where such
+    a run is common to both, the document is laid along the whole item.
+    """
+    run = "CASE " + " ".join(f"WHEN n = {n} THEN {-(-least_equal(n) // (n - least_equal(n) + 1))}" for n in range(1, WINDOW)) + f" ELSE {-(-least_equal(WINDOW) // (WINDOW - least_equal(WINDOW) + 1))} END"
     split = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+    a, b = SHARE
     return f"""
-WITH items AS (SELECT item_id, {split} AS toks FROM benchmark),
-docs AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') AS toks FROM documents),
-seeds AS ({union("items", "item_id", "")}),
-spots AS ({union("docs", "doc_id", "")}),
-hits AS (SELECT doc_id, item_id, s.place - t.place AS start, count(*) AS n_hits FROM spots s JOIN seeds t USING (mask, h) GROUP BY ALL),
+WITH items AS (SELECT *, {run} AS run FROM (SELECT DISTINCT item_id, {split} AS toks, len({split}) AS n FROM benchmark) WHERE n > 0),
+docs AS (SELECT DISTINCT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') AS toks FROM documents),
+runs AS (SELECT DISTINCT run FROM items),
+ours AS (SELECT item_id, toks AS item, run, i AS place, array_to_string(toks[i : i + run - 1], ' ') AS h FROM (SELECT *, unnest(range(1, n - run + 2)) AS i FROM items)),
+theirs AS (SELECT doc_id, toks, run, i AS place, array_to_string(toks[i : i + run - 1], ' ') AS h FROM (SELECT *, unnest(range(1, len(toks) - run + 2)) AS i FROM docs, runs)),
+hits AS (SELECT DISTINCT doc_id, toks, item_id, item, t.place - o.place AS start FROM theirs t JOIN ours o USING (run, h)),
 laid AS (
-  SELECT doc_id, item_id, start, n_hits, least({WINDOW}, len(i.toks)) AS stretch,
-         [CASE WHEN d.toks[start + k] = i.toks[k] THEN 1 ELSE 0 END FOR k IN range(greatest(1, 1 - start), least(len(i.toks), len(d.toks) - start) + 1)] AS same
-  FROM hits JOIN docs d USING (doc_id) JOIN items i USING (item_id)
+  SELECT doc_id, item_id, start, least({WINDOW}, len(item)) AS stretch,
+         [CASE WHEN toks[start + k] = item[k] THEN 1 ELSE 0 END FOR k IN range(greatest(1, 1 - start), least(len(item), len(toks) - start) + 1)] AS same
+  FROM hits
 ), judged AS (
   SELECT *, list_max([list_sum(same[k : k + stretch - 1]) FOR k IN range(1, len(same) - stretch + 2)]) AS matched FROM laid WHERE len(same) >= stretch
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS r FROM judged WHERE matched >= ceil(stretch * {SHARE})
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS r FROM judged WHERE matched * {b} >= stretch * {a}
 )
-SELECT doc_id, item_id, start, CAST(matched AS INT) AS matched, CAST(stretch AS INT) AS stretch, n_hits FROM ranked WHERE r = 1
+SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(matched AS INT) AS matched, CAST(stretch AS INT) AS stretch FROM ranked WHERE r = 1
 """

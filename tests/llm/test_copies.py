@@ -230,9 +230,50 @@ def test_phrases_next_to_other_texts():
     assert [s.tolist() for s in phrases.sketches(texts)] == alone
 
 
-def test_masks_survive_two_substitutions():
+def test_masks_survive_all_allowed_substitutions():
     for gone in combinations(range(decontaminate.WINDOW), 2):
         assert any(not {s + o for o in m} & set(gone) for m in decontaminate.MASKS for s in range(decontaminate.WINDOW - decontaminate.SPAN + 1))
+    for n in range(1, decontaminate.WINDOW):
+        masks = [own for length, own in decontaminate.picks([n]) if length == n]
+        for gone in combinations(range(n), n - decontaminate.least_equal(n)):
+            assert any(not {*own} & {*gone} for own in masks)
+
+
+def by_the_rule(text, item):
+    """(start, matched, stretch) of the best place of an item in a text, or None."""
+    toks, n = re.findall(r"[^\W_]+", text.lower()), len(item)
+    stretch, best = min(13, n), None
+    for start in range(-n, len(toks)):
+        same = [toks[start + k] == item[k] for k in range(n) if 0 <= start + k < len(toks)]
+        for i in range(len(same) - stretch + 1):
+            got = sum(same[i : i + stretch])
+            if 5 * got >= 4 * stretch and (best is None or got > best[1]):
+                best = (start, got, stretch)
+    return best
+
+
+def test_items_of_every_length_by_the_rule(spark, monkeypatch):
+    rng = random.Random(12)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 21)}
+    docs, want = {}, {}
+    for i in range(240):
+        n = 1 + i % 20
+        own, most = list(items[n]), min(n, 13) - decontaminate.least_equal(min(n, 13))
+        for p in rng.sample(range(n), min(n, rng.randrange(most + 2))):
+            own[p] = "changed"
+        before, after = ([f"w{rng.randrange(50)}" for _ in range(rng.randrange(0, 9))] for _ in "ab")
+        docs[i] = " ".join([*before, *own, *after])
+    docs[240] = " ".join(f"w{rng.randrange(50)}" for _ in range(30_000)) + " " + " ".join(items[20])
+    for i, text in docs.items():
+        want |= {(i, n): best for n, item in items.items() if (best := by_the_rule(text, item))}
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()] + [(30, "?!")], "item_id long, text string")
+    frame = spark.createDataFrame([*docs.items(), *list(docs.items())[:40]], "doc_id long, text string")
+    rows = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+        rows.append(sorted(map(tuple, decontaminate.find(frame, bench).collect())))
+    assert rows[0] == rows[1]
+    assert {(r[0], r[1]): r[3:6] for r in rows[0]} == want and len(rows[0]) == len(want) > 150
 
 
 def test_decontamination(spark, odd, none):
@@ -244,7 +285,7 @@ def test_decontamination(spark, odd, none):
     for i in range(60):
         words = rng.choices(vocabulary, k=50)
         if i % 3 == 0:
-            k = rng.randrange(5)
+            k = rng.randrange(6)
             item = items[k][1].upper().split()
             if len(item) >= 13:
                 for p in rng.sample(range(0, len(item), 7), 2):
