@@ -89,26 +89,43 @@ def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", ro
     return blocks.select("conv_id", F.array_join(rendered, "").alias("formatted"), F.transform("turns", run).alias("loss_mask"))
 
 
+def under_mask(mask: Column, formatted: Column) -> Column:
+    """The stretches of a formatted text that a mask takes, at its running offsets."""
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,take:bigint>>").alias("runs"))
+    add = lambda a, x: F.struct((a["at"] + x["skip"] + x["take"]).alias("at"), F.concat(a["runs"], F.array(F.struct((a["at"] + x["skip"]).alias("start"), x["take"].alias("take")))).alias("runs"))
+    return F.transform(F.aggregate(mask, empty, add, lambda a: a["runs"]), lambda r: F.substring(formatted, (r["start"] + 1).cast("int"), r["take"].cast("int")))
+
+
 def read_back(chats: DataFrame) -> DataFrame:
-    """Parse formatted conversations: conv_id, formatted, loss_mask, turns (role, text, learned text)."""
+    """Parse formatted conversations: conv_id, formatted, loss_mask, turns (role, text), learned (the texts under the mask).
+
+    What the mask takes is found by its running offsets in ``formatted``. Where
+    each run starts at a text that was parsed there and goes no further, the
+    text itself is cut, which takes one pass; else ``formatted`` is.
+    """
     blocks = chats.withColumn("parts", F.split("formatted", END)).withColumn("parts", F.slice("parts", F.lit(1), F.size("parts") - 1))
 
-    def opened(block: Column) -> Column:
+    def opened(block: Column, i: Column) -> Column:
         head = F.substring_index(block, "\n", 1)
         role = F.substring(head, F.lit(len(HEAD) + 1), F.char_length(head) - len(HEAD) - 1)
         body = F.substring(block, F.char_length(head) + 2, F.char_length(block))
-        return F.transform(F.split(body, "<\\+>"), lambda t: F.struct(role.alias("role"), t.alias("text")))
+        # Characters between the text before and this one.
+        lead = F.when(i == 0, 0).otherwise(len(END)) + F.char_length(head) + 1
+        return F.transform(F.split(body, "<\\+>"), lambda t, j: F.struct(role.alias("role"), t.alias("text"), F.when(j == 0, lead).otherwise(len(AGAIN)).cast("long").alias("lead")))
 
     found = blocks.withColumn("found", F.flatten(F.transform("parts", opened)))
+    both = F.zip_with("loss_mask", "found", lambda m, t: F.struct(m["skip"].alias("skip"), m["take"].alias("take"), t["lead"].alias("lead"), F.char_length(t["text"]).cast("long").alias("size")))
+    start = F.struct(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("text"), (F.size("loss_mask") == F.size("found")).alias("fits"))
 
-    def turn(x: Column, i: Column) -> Column:
-        return F.struct(
-            unescape_role(x.role).alias("role"),
-            unescape(x.text).alias("text"),
-            unescape(F.substring(x.text, F.lit(1), F.get("loss_mask", i)["take"].cast("int"))).alias("learned"),
-        )
+    def step(a: Column, x: Column) -> Column:
+        on = (x["take"] == 0) | ((a["mask"] + x["skip"] == a["text"] + x["lead"]) & (x["take"] <= x["size"]))
+        return F.struct((a["mask"] + x["skip"] + x["take"]).alias("mask"), (a["text"] + x["lead"] + x["size"]).alias("text"), (a["fits"] & F.coalesce(on, F.lit(False))).alias("fits"))
 
-    return found.select("conv_id", "formatted", "loss_mask", F.transform("found", turn).alias("turns"))
+    fits = F.aggregate(both, start, step, lambda a: a["fits"])
+    at_texts = F.zip_with("loss_mask", "found", lambda m, t: F.substring(t["text"], F.lit(1), m["take"].cast("int")))
+    learned = F.when(fits, at_texts).otherwise(under_mask(F.col("loss_mask"), F.col("formatted")))
+    turn = lambda x: F.struct(unescape_role(x["role"]).alias("role"), unescape(x["text"]).alias("text"))
+    return found.select("conv_id", "formatted", "loss_mask", F.transform("found", turn).alias("turns"), F.transform(learned, unescape).alias("learned"))
 
 
 def digests(chats: DataFrame) -> DataFrame:
@@ -118,7 +135,7 @@ def digests(chats: DataFrame) -> DataFrame:
         "loss_mask",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "").alias("all"),
-        F.array_join(F.transform("turns", lambda t: t.learned), "").alias("learned"),
+        F.array_join("learned", "").alias("learned"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
     covered = F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, x: a + x["skip"] + x["take"])

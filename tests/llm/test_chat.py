@@ -41,3 +41,25 @@ def test_mask_covers_just_the_assistant(spark):
 
 def test_empty(spark):
     assert chat.digests(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
+
+
+def test_a_shifted_mask_gives_other_text(spark):
+    turns = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(turns).where("conv_id = 3")
+    right = chat.digests(chats).first()
+    for skip, take in (("x.skip + IF(i = 0, 1, 0)", "x.take"), ("x.skip - IF(i = 0, 2, 0)", "x.take"), ("x.skip", "x.take - 1")):
+        wrong = chats.selectExpr("conv_id", "formatted", f"transform(loss_mask, (x, i) -> struct({skip} AS skip, {take} AS take)) AS loss_mask")
+        assert chat.digests(wrong).first().loss_sha256 != right.loss_sha256
+        row, at, learned = wrong.first(), 0, []
+        for run in row.loss_mask:
+            at += run.skip
+            learned.append(row.formatted[at : at + run["take"]])
+            at += run["take"]
+        assert chat.read_back(wrong).first().learned == learned
+
+
+def test_a_long_conversation(spark):
+    rows = [(1, i, "user" if i % 3 else "assistant", f"<{i}> " * 20) for i in range(6_000)] + [(2, 0, "assistant", "long # text " * 200_000)]
+    got = {r.conv_id: r for r in chat.digests(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for key, row in got.items():
+        assert (row.n_turns, row.turns_sha256, row.loss_chars, row.loss_sha256) == expected([r for r in rows if r[0] == key])
