@@ -1,25 +1,33 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines: a block element starts a new line, an inline one
-does not, and where a section of the page (a menu, an advert, the article ...)
-begins or ends, blank lines stand between. Over windows of ``WINDOW`` lines the
-text lengths are summed. A surge is where the sum leaves zero, a dive where it
-falls back to zero; the lines between them are a section. The sections that
-hold the article are kept: those within ``article`` or ``main`` where the page
-has such text, else those whose text away from links reaches a share of the
-longest section's. Text in menus, page headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments has length zero.
+does not. A line's mass is its length away from links; text in menus, page
+headers, footers, sidebars, notices, adverts, forms and reader comments leaves
+a line without mass, scripts, styles and comments of the markup leave none. The
+mass is summed over windows of ``WINDOW`` lines. A surge is where the sum
+leaves zero, a dive where it falls back to it, and the lines of mass between
+them, with all that stands among them, are a section: a line or two without
+mass do not part it, a menu does.
+
+What is kept is decided by the heights of the windowed sums: sections that
+reach ``LEAST_PEAK`` of the page's highest, and what stands in the same element
+as one of these. Markup settles what lengths cannot: blank lines part what is
+within ``article`` or ``main`` from what is not, and if a section within such
+an element reaches ``LEAST_PEAK``, those outside do not count.
 
 Cases: a null or empty page gives an empty text; a page without markup is its
-text; pages cut off in the middle are read to their end; pages of any length
-are read whole; repeated rows give repeated rows; further columns are not read;
-an empty table gives an empty result.
+text; a page of links alone has no text; pages cut off in the middle are read
+to their end; pages of any length and depth are read whole; repeated rows give
+repeated rows; further columns are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +36,8 @@ from pyspark.sql import DataFrame
 from .common import map_batches
 
 WINDOW = 3
-#: Without an article element: the least share of the longest section's own text, and the most of a section's text that may be links.
-LEAST_SHARE, MOST_LINKS = 0.3, 0.5
+#: The least share of the page's highest windowed sum, and the most of a section's text outside an article that may be links.
+LEAST_PEAK, MOST_LINKS = 0.3, 0.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -82,25 +90,43 @@ def kind_of(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return off or tag in ALWAYS or tag == "header" or bool(names & WORDS), talk
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters within links, whether within the article element); blank lines part sections."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, off, main, comments
+@dataclass
+class Line:
+    text: str = ""
+    linked: int = 0  # characters within links
+    article: int = 0  # the outermost article element around it, 0 for none
+    box: int = 0  # the innermost element around it that holds blocks
+
+    @property
+    def mass(self) -> int:
+        return len(self.text) if self.article else len(self.text) - self.linked
+
+
+BLANK = Line()
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's lines in order; those that are no part of an article are blank, and blank ones part articles from the rest."""
+    out: list[Line] = []
+    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, off, article, comments, box; what is within an element that is off is off too
+    opened: Counter[str] = Counter()
     buffer: list[str] = []
-    linked, in_link = 0, 0
-    off = main = talk = False
+    linked, in_link, boxes = 0, 0, 0
+    off, article, talk, box = False, 0, False, 0
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = " ".join("".join(buffer).split())
-            if text and not off:
-                out.append((text, min(linked, len(text)), main))
+            if text:
+                out.append(BLANK if off else Line(text, min(linked, len(text)), article, box))
             buffer.clear()
         linked = 0
 
-    def gap() -> None:
-        out.extend([("", 0, False)] * WINDOW)
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -125,37 +151,44 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if tag not in HOLDS:
             continue
         in_link = 0
-        was = (off, main)
+        was = article
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if opened[tag]:
+                while pop() != tag:
+                    pass
         elif not rest.endswith("/"):
+            own_off, own_talk = kind_of(tag, rest, bool(article))
+            main = tag in MAIN and not own_off
             # An article ends whatever was left open before it, but not the comments it may be part of.
-            own_off, own_talk = kind_of(tag, rest, main)
-            if tag in MAIN and not own_off and not talk:
-                stack[:] = [x for x in stack if not x[1]]
-                off = False
-            stack.append((tag, own_off or (bool(stack) and stack[-1][1]), (tag in MAIN and not own_off) or (bool(stack) and stack[-1][2]), own_talk or (bool(stack) and stack[-1][3])))
-        off, main, talk = stack[-1][1:] if stack else (False, False, False)
-        if (off, main) != was:
-            gap()
+            if main and not talk:
+                while stack and stack[-1][1]:
+                    pop()
+            boxes += 1
+            _, above_off, above, above_talk, _ = stack[-1] if stack else ("", False, 0, False, 0)
+            stack.append((tag, own_off or above_off, above or (boxes if main and not above_off else 0), own_talk or above_talk, boxes))
+            opened[tag] += 1
+        _, off, article, talk, box = stack[-1] if stack else ("", False, 0, False, 0)
+        if article != was:
+            out.extend([BLANK] * WINDOW)
     if at < len(page):
         buffer.append(html.unescape(page[at:]))
     flush()
     return out
 
 
-def sections(lengths: np.ndarray) -> list[tuple[int, int]]:
-    """Line ranges between a surge and the next dive of the windowed sums."""
-    if not len(lengths):
+def sections(mass: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, highest windowed sum) from each surge to the next dive."""
+    if not len(mass):
         return []
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    ends = np.minimum(np.arange(len(lengths)) + WINDOW, len(lengths))
-    sums = total[ends] - total[:-1]
+    total = np.concatenate([[0], np.cumsum(mass)])
+    sums = total[np.minimum(np.arange(len(mass)) + WINDOW, len(mass))] - total[:-1]
     on = np.concatenate([[False], sums > 0, [False]])
     change = np.flatnonzero(on[1:] != on[:-1])
-    return list(zip(change[::2].tolist(), change[1::2].tolist()))
+    out = []
+    for surge, dive in zip(change[::2].tolist(), change[1::2].tolist()):
+        heavy = np.flatnonzero(mass[surge:dive])
+        out.append((surge + int(heavy[0]), surge + int(heavy[-1]) + 1, int(sums[surge:dive].max())))
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -163,15 +196,17 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    found = sections(np.array([len(x[0]) for x in lines], np.int64))
-    if any(x[2] for x in lines):
-        kept = [s for s in found if any(lines[i][2] for i in range(*s))]
-        return " ".join(lines[i][0] for s in kept for i in range(*s) if lines[i][0] and lines[i][2])
-    size = [sum(len(lines[i][0]) for i in range(*s)) for s in found]
-    own = [n - sum(lines[i][1] for i in range(*s)) for n, s in zip(size, found)]
-    best = max(own, default=0)
-    kept = [s for n, o, s in zip(size, own, found) if o and o >= LEAST_SHARE * best and n - o <= MOST_LINKS * n]
-    return " ".join(lines[i][0] for s in kept for i in range(*s) if lines[i][0])
+    found = sections(np.array([x.mass for x in lines], np.int64))
+    alone = [s for s in found if lines[s[0]].article or 2 * sum(x.linked for x in lines[s[0] : s[1]]) <= 2 * MOST_LINKS * sum(len(x.text) for x in lines[s[0] : s[1]])]
+    high = [s for s in alone if s[2] >= LEAST_PEAK * max(x[2] for x in alone)]
+    articles = {lines[s[0]].article for s in high} - {0}
+    if articles:
+        kept = [s for s in found if lines[s[0]].article in articles]
+    else:
+        # The elements that hold lines of high sections hold what belongs to them.
+        boxes = {x.box for s in high for x in lines[s[0] : s[1]] if x.text}
+        kept = [s for s in found if s in high or all(x.box in boxes for x in lines[s[0] : s[1]] if x.text)]
+    return " ".join(x.text for a, b, _ in kept for x in lines[a:b] if x.text)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,3 +1,7 @@
+import time
+
+import numpy as np
+
 from lacuna.llm import html_text
 
 MENU = '<nav><ul><li><a href="/a">Home</a></li></ul></nav>'
@@ -25,9 +29,49 @@ def test_odd_pages():
 
 
 def test_surge_and_dive():
-    import numpy as np
+    assert html_text.sections(np.array([0, 0, 0, 5, 0, 7, 0, 0, 0, 0, 3])) == [(3, 6, 12), (10, 11, 3)]
+
+
+def test_sections_against_all_windows():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = rng.integers(0, 40)
+        mass = rng.integers(1, 9, n) * (rng.random(n) < rng.random())
+        want, run = [], []
+        for i in range(len(mass) + 1):
+            window = sum(mass[i : i + html_text.WINDOW]) if i < len(mass) else 0
+            if window:
+                run.append((i, window))
+            elif run:
+                heavy = [k for k, _ in run if mass[k]]
+                want.append((heavy[0], heavy[-1] + 1, max(w for _, w in run)))
+                run = []
+        assert html_text.sections(mass) == want
+
+
+def test_lengths_decide_without_any_hint():
+    long = "A paragraph of the story that goes on for quite a while, with commas and all. "
+    links = "".join(f"<p><a href=/{i}>Another page {i}</a></p>" for i in range(8))
+    body = f"<h2>Title</h2><p>{long * 4}</p><p>Short.</p><p>{long * 3}</p><p>It ends.</p>"
+    want = f"Title {(long * 4).strip()} Short. {(long * 3).strip()} It ends."
+    assert html_text.main_text(f"<html><body><div>{links}</div><div>{body}</div><div>{links}</div><div>Made with care</div></body></html>") == want
+    # The same lines, but the story is hardly longer than what stands apart from it: both stay.
+    page = f"<div><p>{long}</p></div><div>{links}</div><div><p>{long}</p></div>"
+    assert html_text.main_text(page) == f"{long.strip()} {long.strip()}"
+
+
+def test_a_short_end_after_an_advert_stays():
+    long, ad = "A paragraph of the story that goes on for quite a while. " * 6, "<div class=ad><p>Buy</p><p>more</p><p>of</p><p>this</p></div>"
+    for tag in ("div", "article"):
+        assert html_text.main_text(f"<{tag}><p>{long}</p>{ad}<p>It ends.</p></{tag}>") == f"{long.strip()} It ends."
+
 
-    assert html_text.sections(np.array([0, 0, 0, 5, 0, 7, 0, 0, 0, 0, 3])) == [(1, 6), (8, 11)]
+def test_deep_pages():
+    n = 100_000
+    for page in ("<div>" * n + "</ul>" * n + "x", "<div><ul>" * n + "x" + "</div></ul>" * n, "<nav><article>" * n + "x", "<article>" * n + "x"):
+        start = time.perf_counter()
+        assert html_text.main_text(page) == "x"
+        assert time.perf_counter() - start < 10
 
 
 def test_query_schema(spark):
