@@ -35,6 +35,35 @@ NEVER = 1 << 60
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
+# Where the Unicode versions of such tokenizers differ from those of Python and ``regex``.
+#: Letters and numbers that they do not know as such.
+UNKNOWN = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 "
+    "1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 "
+    "1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+#: Marks that are starters to their normalisation, and signs that it does not compose.
+STARTERS = (
+    "07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A "
+    "11930 11935 11938 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+#: Capitals (ranges) and the first's small letter.
+CAPITALS = "1C89:1C8A A7CB:0264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:019B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
+
+def code_points(ranges: str) -> list[int]:
+    return [c for x in ranges.split() for a, _, b in [x.partition("-")] for c in range(int(a, 16), int(b or a, 16) + 1)]
+
+
+def any_of(ranges: str) -> str:
+    """The inside of a set expression."""
+    return "".join("-".join(f"\\U{int(x, 16):08X}" for x in r.split("-")) for r in ranges.split())
+
+
+SMALL = {c: int(small, 16) + i for x in CAPITALS.split() for own, _, small in [x.partition(":")] for i, c in enumerate(code_points(own))}
+RARE = regex.compile(f"[{any_of(UNKNOWN)}{any_of(STARTERS)}{any_of(' '.join(x.partition(':')[0] for x in CAPITALS.split()))}]")
+BETWEEN = regex.compile(f"([{any_of(STARTERS)}])")
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself, or the next free one from 256."""
@@ -73,6 +102,12 @@ class Codec:
         self.values = np.array([self.pairs[k] for k in order], np.int64)
         # White space never is in a word, so that replacing runs of it by one space changes no word.
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        known = lambda kind: f"[{kind}--[{any_of(UNKNOWN)}]]"
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        if "[^\\s\\p{L}\\p{N}]" not in pattern:
+            raise ValueError("not the expected expression for words")
+        #: The same for texts with signs of other Unicode versions.
+        self.rare_word = regex.compile(pattern.replace("[^\\s\\p{L}\\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{any_of(UNKNOWN)}]]").replace("[\\p{L}]", known("\\p{L}")).replace("[\\p{N}]", known("\\p{N}")), regex.V1)
         self.marks = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         #: What stands between white space -> its packed ids
         self.chunks = TwoAgeCache(self.joined, cache)
@@ -81,9 +116,12 @@ class Codec:
 
     def pieces(self, text: str) -> list[str]:
         """Words of one stretch without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.word.findall(text.lower())
+        if text.isascii():
+            return self.word.findall(text.lower())
+        if not RARE.search(text):
+            return self.word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = "".join(unicodedata.normalize("NFC", x) for x in BETWEEN.split(text))
+        return self.rare_word.findall(text.replace("Σ", "σ").translate(SMALL).lower())
 
     def prepare(self, words: Iterable[str]) -> None:
         """Merge distinct words, many at a time."""

@@ -19,6 +19,10 @@ CODEC = bpe.Codec(open(WORDS, encoding="utf-8").read())
 CHARS = st.characters(codec="utf-8", categories=("Lu", "Ll", "Nd", "Po", "Sc", "Sm", "Zs"), max_codepoint=0x24F)
 
 
+def packed(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_counts_of_odd_texts(odd):
     got = sorted(token_counts.count_tokens(odd, PIECES).collect(), key=str)
     want = sorted(((r.doc_id, len((r.text or "").encode()), n := len(LIBRARY.encode(r.text or "")), n > 4096) for r in odd.collect()), key=lambda x: f"Row(doc_id={x[0]}")
@@ -40,6 +44,25 @@ def test_ids_and_decoded_text_as_the_library(text):
     assert CODEC.decode(packed) == TOKENIZER.decode(ids, skip_special_tokens=False)
 
 
+def test_all_signs_as_the_library():
+    planes = [*range(0, 0xD800), *range(0xE000, 0x34000), *range(0x3C000, 0x3FD00, 3), *range(0xE0000, 0xE0200), 0x10FFFF]
+    for form in ("a{}b", "e{}\u0301{}1", "e\u0323{}\u0301!"):
+        for at in range(0, len(planes), 4096):
+            text = " | ".join(form.replace("{}", chr(c)) for c in planes[at : at + 4096])
+            ids = TOKENIZER.encode(text, add_special_tokens=False).ids
+            if CODEC.encode(text) != struct.pack(f"<{len(ids)}I", *ids):
+                wrong = [hex(c) for c in planes[at : at + 4096] if CODEC.encode(x := form.replace("{}", chr(c))) != packed(TOKENIZER.encode(x, add_special_tokens=False).ids)]
+                raise AssertionError((form, wrong[:50]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=30))
+def test_any_text_as_the_library(text):
+    ids = TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert CODEC.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+    assert COUNTER.count(text) == len(LIBRARY.encode(text))
+
+
 def test_long_word_takes_the_same_merges():
     word = "abracadabra" * 60
     ids = TOKENIZER.encode(word, add_special_tokens=False).ids
