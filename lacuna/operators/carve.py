@@ -90,3 +90,11 @@ def pack_bricks(voxels: DataFrame) -> DataFrame:
     keys = [F.shiftright(c, 3).alias(f"b{c}") for c in KEY]
     words = [F.coalesce(F.bit_or(F.when(inner("k") == w, bit)), F.lit(0).cast("long")).alias(f"w{w}") for w in range(8)]
     return voxels.groupBy(*keys).agg(*words)
+
+
+def unpack_bricks(bricks: DataFrame) -> DataFrame:
+    """The voxels of packed bricks."""
+    word = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"w{w}").alias("bits")) for w in range(8)]))
+    words = bricks.select("bi", "bj", "bk", word.alias("x")).where("x.bits <> 0")
+    bits = words.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(63)))).where(F.expr("(shiftrightunsigned(x.bits, b) & 1L) = 1"))
+    return bits.select(F.expr("CAST(bi * 8 + (b & 7) AS INT)").alias("i"), F.expr("CAST(bj * 8 + shiftright(b, 3) AS INT)").alias("j"), F.expr("CAST(bk * 8 + x.w AS INT)").alias("k"))

@@ -24,14 +24,18 @@ def origins(kept: DataFrame) -> DataFrame:
 
 
 def cloud_points(kept: DataFrame, heads: DataFrame, options: LoadOptions = LoadOptions()) -> DataFrame:
-    """Per kept point: float32 offsets from its scan's origin, and a colour."""
+    """Per kept point: float32 offsets from its scan's origin, and a colour.
+
+    The scan's own colours if they are preferred and it has all three, else its
+    intensity as grey if that is preferred and there, else white. (A field that
+    a scan lacks is null for all of its points.)
+    """
     near = kept.join(F.broadcast(heads), "scan_id")
-    if options.prefer_colour:
-        rgb = [clamp_byte(F.col(c)) for c in ("red", "green", "blue")]
-    elif options.prefer_intensity:
-        rgb = [intensity_grey(F.col("intensity"), F.col("int_lo"), F.col("int_hi"))] * 3
-    else:
-        rgb = [F.lit(255)] * 3
+    names = ("red", "green", "blue")
+    coloured = F.lit(options.prefer_colour) & F.col("red").isNotNull() & F.col("green").isNotNull() & F.col("blue").isNotNull()
+    lit_ = F.lit(options.prefer_intensity) & F.col("intensity").isNotNull()
+    grey = intensity_grey(F.col("intensity"), F.col("int_lo"), F.col("int_hi"))
+    rgb = [F.when(coloured, clamp_byte(F.col(c))).when(lit_, grey).otherwise(255) for c in names]
     return near.select("scan_id", "record_idx", *[(F.col(c) - F.col(f"o{c}")).cast("float").alias(f"d{c}") for c in "xyz"], *[v.alias(n) for n, v in zip("rgb", rgb)])
 
 

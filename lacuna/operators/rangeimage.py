@@ -6,7 +6,7 @@ the scan's stored no-returns, or else from its field of view.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import direction, direction_bin
@@ -72,6 +72,15 @@ def status_image(points: DataFrame, t: Thresholds, stores_no_returns: Column) ->
     return all_.select("scan_id", "ia", "ie", F.when(F.col("range_cm").isNotNull(), HIT).otherwise(empty).alias("status"), "range_cm")
 
 
+def write_cache(bins: DataFrame, path: str) -> None:
+    """Range images as files by scan, rows in order of direction, so that a few scans or bins can be read by themselves."""
+    bins.repartition("scan_id").sortWithinPartitions("scan_id", "ie", "ia").write.partitionBy("scan_id").mode("overwrite").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ia int, ie int, range_cm int, scan_id int").parquet(path).select("scan_id", "ia", "ie", "range_cm")
+
+
 def mip(bins: DataFrame, levels: int) -> DataFrame:
     """Least and greatest range of every 2 x 2 bins, level after level (never a mean)."""
     level = bins.select("scan_id", "ia", "ie", F.col("range_cm").alias("lo"), F.col("range_cm").alias("hi"))

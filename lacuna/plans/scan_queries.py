@@ -14,6 +14,7 @@ from .corpus import oracle, scan_meta, scan_points, scan_points_global
 #: At the default of 1 degree no scan of this corpus has enough full bins.
 T3 = Thresholds(bin_degrees=3.0)
 SMALL = Thresholds(bin_degrees=3.0, sample_target=2_000)
+#: Of ``decimate`` alone: small enough that it has something to leave out.
 BUDGET = LoadOptions(max_points=3_000)
 QUERIES, ORACLES = {}, {}
 
@@ -34,7 +35,9 @@ def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
 
 R6 = lambda *cols: ", ".join(f"round({c}, 6) AS {a}" for c, a in cols)
 STEP = "greatest(1, m.record_count // {0})"
-KEPT = "kept AS (SELECT p.* FROM points p JOIN meta m ON p.scan_id = m.scan_id WHERE record_idx % greatest(1, (m.record_count + 2999) // 3000) = 0 AND invalid_state = 0)"
+KEEP = "SELECT p.* FROM points p JOIN meta m ON p.scan_id = m.scan_id WHERE record_idx % greatest(1, (m.record_count + {0} - 1) // {0}) = 0 AND invalid_state = 0"
+FEW = f"kept AS ({KEEP.format(BUDGET.max_points)})"
+KEPT = f"kept AS ({KEEP.format(LoadOptions().max_points)})"
 HEADS = "heads AS (SELECT scan_id, x AS ox, y AS oy, z AS oz FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY record_idx) AS r FROM kept) WHERE r = 1)"
 
 
@@ -155,7 +158,7 @@ for store in (QUERIES, ORACLES):
     store["spherical_to_cartesian"] = store.pop("spherical_to_cartesian_")
 
 
-@query(oracle("SELECT scan_id, count(*) AS n, CAST(sum(record_idx) AS BIGINT) AS ordinals FROM kept GROUP BY scan_id", KEPT))
+@query(oracle("SELECT scan_id, count(*) AS n, CAST(sum(record_idx) AS BIGINT) AS ordinals FROM kept GROUP BY scan_id", FEW))
 def decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = cloud.decimate(scan_points(spark, sf_dir), scan_meta(spark, sf_dir), BUDGET.max_points)
     return kept.groupBy("scan_id").agg(F.count("*").alias("n"), F.sum("record_idx").alias("ordinals"))
@@ -163,7 +166,7 @@ def decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clouds(spark: SparkSession, sf_dir: str):
     scans = scan_meta(spark, sf_dir)
-    kept = cloud.decimate(scan_points(spark, sf_dir), scans, BUDGET.max_points)
+    kept = cloud.decimate(scan_points(spark, sf_dir), scans, LoadOptions().max_points)
     return scans, kept, cloud.origins(kept)
 
 
@@ -204,6 +207,18 @@ def intensity_grey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.cloud_points(kept, heads, LoadOptions(prefer_colour=False)).select("scan_id", "record_idx", F.col("r").alias("grey"))
 
 
+GREY = "CAST(floor(40 + 215 * least(1e0, greatest(0e0, (CAST(CAST(intensity AS FLOAT) AS DOUBLE) - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END))) AS INT)"
+
+
+@query(oracle("SELECT scan_id, record_idx, " + ", ".join(f"CASE WHEN scan_id % 2 = 0 AND scan_id < 4 THEN CAST(floor(least(255e0, greatest(0e0, {c}))) AS INT) WHEN scan_id < 4 THEN {GREY} ELSE 255 END AS {a}" for c, a in (("red", "r"), ("green", "g"), ("blue", "b"))) + " FROM (SELECT *, min(intensity) OVER w AS lo, max(intensity) OVER w AS hi FROM kept WINDOW w AS (PARTITION BY scan_id))", KEPT))
+def attribute_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans 1, 3 and 4 have no colours, scan 4 no intensity either."""
+    points = scan_points(spark, sf_dir)
+    points = points.withColumns({c: F.when((F.col("scan_id") % 2 == 0) & (F.col("scan_id") < 4), F.col(c)) for c in ("red", "green", "blue")}).withColumn("intensity", F.when(F.col("scan_id") < 4, F.col("intensity")))
+    kept = cloud.decimate(points, scan_meta(spark, sf_dir), LoadOptions().max_points)
+    return cloud.cloud_points(kept, cloud.origins(kept)).select("scan_id", "record_idx", "r", "g", "b")
+
+
 @query(oracle(f"SELECT h.scan_id, has_pose AS has_setup, {R4(('CAST(tx - ox AS FLOAT)', 'sx'), ('CAST(ty - oy AS FLOAT)', 'sy'), ('CAST(tz - oz AS FLOAT)', 'sz'))} FROM heads h JOIN meta m ON m.scan_id = h.scan_id", KEPT, HEADS))
 def setup_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans, _, heads = _clouds(spark, sf_dir)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import carve, pick, rangeimage, session, voids
 from ..operators.camera import OrbitCamera, inverse
+from ..operators.graph import shared_dir
 from ..params import Grid, LoadOptions, Thresholds
 from .corpus import oracle, scan_meta, scan_points
 from .scan_queries import BINS, T3
@@ -90,18 +93,17 @@ def point_sprite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- session ---------------------------------------------------------------
-BUDGET = LoadOptions(max_points=3_000)
 REPORT = """verdicts AS (SELECT m.*, CASE WHEN share > 0.2e0 THEN 'unified/merged' WHEN share >= 0 OR coalesce(row_max > row_min AND col_max > col_min, false) OR has_grouping THEN 'structured' ELSE 'ambiguous' END AS kind
   FROM meta m LEFT JOIN (SELECT scan_id, CASE WHEN tested >= 200 THEN multi / tested ELSE -1e0 END AS share FROM (
     SELECT scan_id, count(*) FILTER (WHERE n >= 4) AS tested, count(*) FILTER (WHERE n >= 4 AND hi - lo > CAST(0.5 AS FLOAT)) AS multi FROM bins GROUP BY scan_id)) t ON m.scan_id = t.scan_id),
 report AS (SELECT v.scan_id, CASE WHEN name = '' THEN 'scan ' || v.scan_id ELSE name END AS name, kind, record_count AS source_points,
   CASE WHEN kind = 'structured' THEN coalesce(n, 0) ELSE 0 END AS loaded_points, kind = 'structured' AND coalesce(n, 0) > 0 AS rendered
-  FROM verdicts v LEFT JOIN (SELECT p.scan_id, count(*) AS n FROM points p JOIN meta m ON m.scan_id = p.scan_id WHERE record_idx % greatest(1, (record_count + 2999) // 3000) = 0 AND invalid_state = 0 GROUP BY p.scan_id) k ON k.scan_id = v.scan_id)"""
+  FROM verdicts v LEFT JOIN (SELECT p.scan_id, count(*) AS n FROM points p JOIN meta m ON m.scan_id = p.scan_id WHERE record_idx % greatest(1, (record_count + 3999999) // 4000000) = 0 AND invalid_state = 0 GROUP BY p.scan_id) k ON k.scan_id = v.scan_id)"""
 
 
 @query(oracle("SELECT * FROM report", BINS, REPORT))
 def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session.report(scan_points(spark, sf_dir), scan_meta(spark, sf_dir), T3, BUDGET).drop("summary", "detail")
+    return session.report(scan_points(spark, sf_dir), scan_meta(spark, sf_dir), T3, LoadOptions()).drop("summary", "detail")
 
 
 SHOWN = "CASE WHEN {0} >= 1000000 THEN printf('%.1f M', {0} / 1e6) WHEN {0} >= 1000 THEN printf('%.1f k', {0} / 1e3) ELSE CAST({0} AS VARCHAR) END"
@@ -109,7 +111,7 @@ SHOWN = "CASE WHEN {0} >= 1000000 THEN printf('%.1f M', {0} / 1e6) WHEN {0} >= 1
 
 @query(oracle(f"SELECT *, {SHOWN.format('kept')} AS kept_shown, {SHOWN.format('source')} AS source_shown FROM (SELECT count(*) FILTER (WHERE rendered) AS usable, count(*) FILTER (WHERE NOT rendered) AS rejected, CAST(coalesce(sum(loaded_points) FILTER (WHERE rendered), 0) AS BIGINT) AS kept, CAST(coalesce(sum(source_points) FILTER (WHERE rendered), 0) AS BIGINT) AS source FROM report)", BINS, REPORT))
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session.summary(session.report(scan_points(spark, sf_dir), scan_meta(spark, sf_dir), T3, BUDGET))
+    return session.summary(session.report(scan_points(spark, sf_dir), scan_meta(spark, sf_dir), T3, LoadOptions()))
 
 
 # ---- range images ----------------------------------------------------------
@@ -118,46 +120,40 @@ W6 = "6e0 * 3.14159265358979e0 / 180e0"
 LOCAL = f"""local AS (SELECT scan_id, invalid_state, rr, CAST(least(59, greatest(0, floor((atan2(y, x) + 3.14159265358979e0) / ({W6})))) AS INT) AS ia, CAST(least(29, greatest(0, floor(acos(greatest(-1e0, least(1e0, z / rr))) / ({W6})))) AS INT) AS ie
   FROM (SELECT *, sqrt(x * x + y * y + z * z) AS rr FROM points) WHERE rr >= 1e-6)"""
 IMAGE = "image AS (SELECT scan_id, ia, ie, CAST(least(65535, floor(min(rr) * 100e0 + 0.5e0)) AS INT) AS range_cm FROM local WHERE invalid_state = 0 GROUP BY ALL)"
-GAPS = "gaps AS (SELECT scan_id, ia, nxt, nxt - ia AS gap FROM (SELECT scan_id, ia, coalesce(lead(ia) OVER (PARTITION BY scan_id ORDER BY ia), min(ia) OVER (PARTITION BY scan_id) + 60) AS nxt FROM (SELECT DISTINCT scan_id, ia FROM thin)))"
-THIN = "thin AS (SELECT * FROM image WHERE ia % 5 <> 2 AND ia < 50 AND ie > 3)"
-FOV = "fov AS (SELECT h.scan_id, ie_from, ie_to, CASE WHEN gap < 2 THEN 0 ELSE nxt % 60 END AS ia_from, CASE WHEN gap < 2 THEN 60 ELSE 60 - gap + 1 END AS ia_extent FROM (SELECT scan_id, min(ie) AS ie_from, max(ie) AS ie_to FROM thin GROUP BY scan_id) h JOIN (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY gap DESC, ia) AS r FROM gaps) g ON g.scan_id = h.scan_id AND r = 1)"
+GAPS = "gaps AS (SELECT scan_id, ia, nxt, nxt - ia AS gap FROM (SELECT scan_id, ia, coalesce(lead(ia) OVER (PARTITION BY scan_id ORDER BY ia), min(ia) OVER (PARTITION BY scan_id) + 60) AS nxt FROM (SELECT DISTINCT scan_id, ia FROM image)))"
+FOV = "fov AS (SELECT h.scan_id, ie_from, ie_to, CASE WHEN gap < 2 THEN 0 ELSE nxt % 60 END AS ia_from, CASE WHEN gap < 2 THEN 60 ELSE 60 - gap + 1 END AS ia_extent FROM (SELECT scan_id, min(ie) AS ie_from, max(ie) AS ie_to FROM image GROUP BY scan_id) h JOIN (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY gap DESC, ia) AS r FROM gaps) g ON g.scan_id = h.scan_id AND r = 1)"
 
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangeimage.range_bins(scan_points(spark, sf_dir), T6)
 
 
-def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins with gaps to find."""
-    return image(spark, sf_dir).where("ia % 5 <> 2 AND ia < 50 AND ie > 3")
-
-
 @query(oracle("SELECT * FROM image", LOCAL, IMAGE))
 def range_image_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image(spark, sf_dir)
 
 
-@query(oracle("SELECT scan_id, ia, gap FROM gaps", LOCAL, IMAGE, THIN, GAPS))
+@query(oracle("SELECT scan_id, ia, gap FROM gaps", LOCAL, IMAGE, GAPS))
 def azimuth_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rangeimage.azimuth_gaps(thinned(spark, sf_dir), T6.n_az).select("scan_id", "ia", "gap")
+    return rangeimage.azimuth_gaps(image(spark, sf_dir), T6.n_az).select("scan_id", "ia", "gap")
 
 
-@query(oracle("SELECT * FROM fov", LOCAL, IMAGE, THIN, GAPS, FOV))
+@query(oracle("SELECT * FROM fov", LOCAL, IMAGE, GAPS, FOV))
 def scan_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rangeimage.field_of_view(thinned(spark, sf_dir), T6.n_az)
+    return rangeimage.field_of_view(image(spark, sf_dir), T6.n_az)
 
 
-@query(
-    oracle(
-        """SELECT c.scan_id, c.status, count(*) AS n FROM (
-  SELECT f.scan_id, CASE WHEN t.range_cm IS NOT NULL THEN 'HIT' WHEN CASE WHEN f.scan_id <> 2 AND f.scan_id IN (SELECT scan_id FROM lost) THEN l.ia IS NOT NULL
-    ELSE ie BETWEEN ie_from AND ie_to AND (ia - ia_from + 60) % 60 < ia_extent END THEN 'NO_RETURN' ELSE 'OUTSIDE_FOV' END AS status
-  FROM fov f, (SELECT a.i AS ia, b.i AS ie FROM range(60) a(i), range(30) b(i)) g LEFT JOIN thin t ON (t.scan_id, t.ia, t.ie) = (f.scan_id, g.ia, g.ie) LEFT JOIN lost l ON (l.scan_id, l.ia, l.ie) = (f.scan_id, g.ia, g.ie)) c GROUP BY ALL""".replace("ia - ia_from", "g.ia - ia_from").replace("ELSE ie BETWEEN", "ELSE g.ie BETWEEN"),
-        LOCAL, IMAGE, "thin AS (SELECT * FROM image)", GAPS, FOV, "lost AS (SELECT DISTINCT scan_id, ia, ie FROM local WHERE invalid_state <> 0 AND scan_id <> 2)",
-    )
-)
+#: Scan 2 counts as one that stores no no-returns.
+LOST = "lost AS (SELECT DISTINCT scan_id, ia, ie FROM local WHERE invalid_state <> 0 AND scan_id <> 2)"
+STATUS = """status AS (
+  SELECT f.scan_id, g.ia, g.ie, t.range_cm, CASE WHEN t.range_cm IS NOT NULL THEN 'HIT' WHEN CASE WHEN f.scan_id IN (SELECT scan_id FROM lost) THEN l.ia IS NOT NULL
+    ELSE g.ie BETWEEN ie_from AND ie_to AND (g.ia - ia_from + 60) % 60 < ia_extent END THEN 'NO_RETURN' ELSE 'OUTSIDE_FOV' END AS status
+  FROM fov f, (SELECT a.i AS ia, b.i AS ie FROM range(60) a(i), range(30) b(i)) g LEFT JOIN image t ON (t.scan_id, t.ia, t.ie) = (f.scan_id, g.ia, g.ie) LEFT JOIN lost l ON (l.scan_id, l.ia, l.ie) = (f.scan_id, g.ia, g.ie))"""
+TO_STATUS = (LOCAL, IMAGE, GAPS, FOV, LOST, STATUS)
+
+
+@query(oracle("SELECT scan_id, status, count(*) AS n FROM status GROUP BY ALL", *TO_STATUS))
 def range_image_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan 2 counts as one that stores no no-returns."""
     return rangeimage.status_image(scan_points(spark, sf_dir), T6, F.col("scan_id") != 2).groupBy("scan_id", "status").agg(F.count("*").alias("n"))
 
 
@@ -175,16 +171,17 @@ OCC = "occ AS (SELECT DISTINCT CAST(floor(x + sx) AS INT) AS i, CAST(floor(y) AS
 SEEN = f"""seen AS (SELECT v.i, v.j, v.k, v.scan_id, rr, degrees(acos(least(1e0, abs(lz) / rr))) AS angle FROM (
   SELECT *, CAST(least(59, greatest(0, floor((atan2(ly, lx) + 3.14159265358979e0) / ({W6})))) AS INT) AS ia, CAST(least(29, greatest(0, floor(acos(greatest(-1e0, least(1e0, lz / rr))) / ({W6})))) AS INT) AS ie
   FROM (SELECT *, sqrt(lx * lx + ly * ly + lz * lz) AS rr FROM (SELECT vox.*, scan_id, i + 0.5e0 - sx AS lx, j + 0.5e0 AS ly, k + 0.5e0 AS lz FROM vox, setups)) WHERE rr BETWEEN 1e-6 AND 9) v
-  JOIN image m ON m.scan_id = v.scan_id AND m.ia = v.ia AND m.ie = v.ie WHERE rr < least(9e0, range_cm / 100e0 - {lit(GRID.surface_margin)}))"""
+  JOIN status m ON m.scan_id = v.scan_id AND m.ia = v.ia AND m.ie = v.ie WHERE status <> 'OUTSIDE_FOV' AND rr < coalesce(least(9e0, range_cm / 100e0 - {lit(GRID.surface_margin)}), 9e0))"""
 VIS = "vis AS (SELECT DISTINCT i, j, k FROM seen)"
-SPACE = (LOCAL, IMAGE, SETUPS, VOX, OCC, SEEN, VIS)
+SPACE = (*TO_STATUS, SETUPS, VOX, OCC, SEEN, VIS)
 
 
 def room(spark: SparkSession, sf_dir: str):
-    """(voxels, setups, points with their world place, range image)."""
+    """(voxels, setups, points with their world place, range image: centimetres of hits, null of directions without a return)."""
     setups = spark.range(3).select(F.col("id").cast("int").alias("scan_id"), F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0))).alias("q"), F.array(F.col("id") * 4.0, F.lit(0.0), F.lit(0.0)).alias("t"))
     points = scan_points(spark, sf_dir).where("scan_id < 3").withColumns({"gx": F.col("x") + 4.0 * F.col("scan_id"), "gy": F.col("y"), "gz": F.col("z")})
-    return carve.universe(spark, LOW, HIGH), setups, points, rangeimage.range_bins(points, T6)
+    status = rangeimage.status_image(points, T6, F.col("scan_id") != 2)
+    return carve.universe(spark, LOW, HIGH), setups, points, status.where(F.col("status") != rangeimage.OUTSIDE).select("scan_id", "ia", "ie", "range_cm")
 
 
 def seen_space(spark: SparkSession, sf_dir: str):
@@ -227,14 +224,32 @@ def brick_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carve.pack_bricks(carve.occupied(room(spark, sf_dir)[2], GRID))
 
 
+@query(oracle("SELECT * FROM occ", *SPACE))
+def grid_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupied space written as a table of bricks, and read back."""
+    path = f"{shared_dir(spark)}/bricks-{uuid.uuid4().hex}"
+    bricks = carve.pack_bricks(carve.occupied(room(spark, sf_dir)[2], GRID))
+    bricks.write.parquet(path)
+    return carve.unpack_bricks(spark.read.schema(bricks.schema).parquet(path))
+
+
+@query(oracle("SELECT * FROM image WHERE scan_id IN (1, 3)", LOCAL, IMAGE))
+def range_image_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range images written by scan, and two of them read back."""
+    path = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    rangeimage.write_cache(image(spark, sf_dir), path)
+    return rangeimage.read_cache(spark, path).where("scan_id IN (1, 3)")
+
+
 # ---- voids -----------------------------------------------------------------
 MOVES = "moves(di, dj, dk) AS (VALUES " + ", ".join(map(str, voids.STEPS)) + ")"
 FREE = "free AS (SELECT * FROM vox EXCEPT SELECT * FROM vis EXCEPT SELECT * FROM occ)"
 FRONT = "front AS (SELECT i, j, k, 0 AS d FROM vis UNION SELECT n.i, n.j, n.k, f.d + 1 FROM front f, moves, free n WHERE f.d < 3 AND n.i = f.i + di AND n.j = f.j + dj AND n.k = f.k + dk)"
 VOIDS = "voids AS (SELECT DISTINCT i, j, k FROM front WHERE d > 0)"
 KEYED = "keyed AS (SELECT *, ((i + 1048576) * CAST(4398046511104 AS BIGINT)) + (j + 1048576) * CAST(2097152 AS BIGINT) + k + 1048576 AS node FROM voids)"
-REACH = "reach AS (SELECT node, node AS label FROM keyed UNION SELECT b.node, r.label FROM reach r JOIN keyed a ON a.node = r.node, moves, keyed b WHERE b.i = a.i + di AND b.j = a.j + dj AND b.k = a.k + dk AND r.label < b.node)"
-COMP = "comp AS (SELECT i, j, k, label AS comp FROM keyed JOIN (SELECT node, min(label) AS label FROM reach GROUP BY node) USING (node))"
+#: One label a voxel, which falls until no neighbour has a smaller one.
+REACH = "reach(node, label) USING KEY (node) AS (SELECT node, node FROM keyed UNION SELECT b.node, min(r.label) FROM reach r JOIN keyed a ON a.node = r.node, moves, keyed b JOIN recurring.reach old ON old.node = b.node WHERE b.i = a.i + di AND b.j = a.j + dj AND b.k = a.k + dk AND r.label < old.label GROUP BY b.node)"
+COMP = "comp AS (SELECT i, j, k, label AS comp FROM keyed JOIN reach USING (node))"
 TO_VOIDS = (*SPACE, MOVES, FREE, FRONT, VOIDS)
 TO_COMP = (*TO_VOIDS, KEYED, REACH, COMP)
 

@@ -264,13 +264,27 @@ def packets(file: Paged, scan: Scan) -> list[Packet]:
     return out
 
 
-def segments(scan: Scan, found: list[Packet], wanted: list[int]) -> list[tuple[int, int, list[Packet]]]:
-    """(first record, records, packets) between restarts, of which each starts its streams anew."""
+def by_restart(found: list[Packet]) -> list[list[Packet]]:
+    """Data packets between restarts."""
     parts: list[list[Packet]] = []
     for p in (p for p in found if p.type == DATA):
         if not parts or p.flags & RESTART:
             parts.append([])
         parts[-1].append(p)
+    return parts
+
+
+def there(scan: Scan, found: list[Packet], wanted: list[int]) -> int:
+    """Records that the packets hold, up to those declared."""
+    packed = [i for i in wanted if scan.fields[i].bits]
+    if not packed:
+        return scan.records
+    return min(scan.records, sum(min(sum(p.streams[i][1] for p in part) * 8 // scan.fields[i].bits for i in packed) for part in by_restart(found)))
+
+
+def segments(scan: Scan, found: list[Packet], wanted: list[int]) -> list[tuple[int, int, list[Packet]]]:
+    """(first record, records, packets) between restarts, of which each starts its streams anew."""
+    parts = by_restart(found)
     out, first = [], 0
     for part in parts:
         room = [sum(p.streams[i][1] for p in part) * 8 // scan.fields[i].bits for i in wanted if scan.fields[i].bits]

@@ -1,7 +1,8 @@
 """Scan files as a Spark source and sink.
 
 ``spark.read.format("e2807")`` reads local paths; ``mode`` chooses what: files,
-scans, points (default), packets or pages. ``fields`` names the point fields to
+scans, points (default), packets, pages or audit (per scan, the records that
+its packets hold and what is wrong with it; never fails). ``fields`` names the point fields to
 decode (the API hands no projection to a Python source, so it must be said),
 ``scan`` one scan of each file, ``records_per_task`` how a scan is split,
 ``strict`` whether a field that a scan lacks is an error, and ``on_error``
@@ -22,6 +23,7 @@ from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -36,6 +38,7 @@ SCHEMAS = {
     "x_min double, x_max double, y_min double, y_max double, z_min double, z_max double, cv_file_offset bigint",
     "packets": "path string, scan_index int, packet_no bigint, type int, flags int, length bigint, stream_lengths array<bigint>",
     "pages": "path string, page_no bigint, stored bigint, computed bigint",
+    "audit": "path string, scan_index int, records bigint, decoded bigint, error string",
 }
 CHUNK = 65_536
 
@@ -74,6 +77,26 @@ def points_schema(fields: list[str]) -> str:
     return "path string, scan_index int, record_idx bigint" + "".join(f", {f} double" for f in fields)
 
 
+def audit_rows(path: str) -> Iterator[tuple]:
+    """(path, scan, records declared, records there, error) of each scan; one row without a scan for a file that cannot be read."""
+    try:
+        file = open_file(path)
+        scans = codec.catalogue(file)
+    except codec.FormatError as e:
+        yield path, None, None, None, str(e)
+        return
+    for i, s in enumerate(scans):
+        decoded, error = 0, None
+        try:
+            found = codec.packets(file, s)
+            wanted = [k for k, f in enumerate(s.fields) if f.type != "String"]
+            decoded = codec.there(s, found, wanted)
+            codec.segments(s, found, wanted)
+        except codec.FormatError as e:
+            error = str(e)
+        yield path, i, s.records, decoded, error
+
+
 class Part(InputPartition):
     def __init__(self, path: str, scan: int | None = None, low: int = 0, high: int = 0):
         self.path, self.scan, self.low, self.high = path, scan, low, high
@@ -117,6 +140,9 @@ class Reader(DataSourceReader):
     def read(self, part: Part):
         if not part.path:
             return
+        if self.mode == "audit":
+            yield from audit_rows(part.path)
+            return
         try:
             file = open_file(part.path)
             if self.mode == "pages":
@@ -141,27 +167,39 @@ class Reader(DataSourceReader):
 
 
 class Writer(DataSourceArrowWriter):
-    """One file of one scan for each task; ``prototype`` (JSON list of fields) says how columns are packed."""
+    """One file of one scan for each task, or for each value of the column ``key`` in a task.
+
+    ``prototype`` (JSON list of fields) says how columns are packed; ``scans``
+    (JSON, by key) what a scan's catalogue entry holds, its own fields included.
+    """
 
     def __init__(self, options: dict, columns: list[str]):
         self.path = options["path"].removeprefix("file://")
+        self.key = options.get("key")
+        self.headers = json.loads(options.get("scans", "{}"))
         given = json.loads(options.get("prototype", "[]"))
-        self.fields = [codec.Field(**f) for f in given] or [codec.Field(c) for c in columns]
+        self.fields = [codec.Field(**f) for f in given] or [codec.Field(c) for c in columns if c != self.key]
         self.per_packet = int(options.get("records_per_packet", 512))
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        table = pa.Table.from_batches(held) if (held := list(batches)) else None
         if table is not None and table.num_rows:
-            name = uuid.uuid4().hex
-            columns = [table.column(f.name).to_numpy() for f in self.fields]
-            scan = codec.Scan(self.fields, table.num_rows, 0, guid="{" + name + "}", name=name)
             os.makedirs(self.path, exist_ok=True)
-            hidden = os.path.join(self.path, f".{name}.tmp")
-            with open(hidden, "wb") as f:
-                f.write(codec.write([(scan, columns)], self.per_packet))
-            os.replace(hidden, os.path.join(self.path, f"part-{name}.e57"))
+            for key in table.column(self.key).unique().to_pylist() if self.key else [None]:
+                self.save(table.filter(pa.compute.equal(table.column(self.key), key)) if self.key else table, key)
         return WriterCommitMessage()
 
+    def save(self, table: pa.Table, key) -> None:
+        own = dict(self.headers.get(str(key), {}))
+        fields = [codec.Field(**f) for f in own.pop("fields")] if "fields" in own else self.fields
+        unique = uuid.uuid4().hex
+        scan = codec.Scan(fields, table.num_rows, 0, **({"guid": "{" + unique + "}", "name": unique} | own))
+        columns = [table.column(f.name).to_numpy() for f in fields]
+        hidden = os.path.join(self.path, f".{unique}.tmp")
+        with open(hidden, "wb") as f:
+            f.write(codec.write([(scan, columns)], self.per_packet))
+        os.replace(hidden, os.path.join(self.path, f"part-{'' if key is None else f'{key:08d}-'}{unique}.e57"))
+
 
 class E2807(DataSource):
     @classmethod

@@ -3,6 +3,8 @@
 import math
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from lacuna.plans import registry
@@ -19,10 +21,10 @@ def duck(sf_dir):
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "null"
-    if isinstance(v, float):
-        return repr(round(v, 6) + 0.0)
+    if isinstance(v, (float, int, np.integer)) and not isinstance(v, bool) and abs(v) < 2**53:
+        return repr(round(float(v), 6) + 0.0)
     return str(v)
 
 
