@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, cut
+from ..operators.graph import Tables, components, cut
 from .common import map_batches, release
 
 BITS, BUDGET = 64, 4
@@ -202,15 +202,18 @@ def links(fps: DataFrame, most: int = 250_000, leaves_per_task: int = 200_000) -
 
 def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id."""
-    prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    leaves = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    tables = Tables(docs.sparkSession)
+    prints = tables.keep(fingerprints(docs, id_col, text_col, shingle))
+    leaves = tables.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     sets = components(links(leaves))
     named = sets.join(leaves.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = named.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
     # Written, so that the join below has a plain shuffle on either side and can be split where one fingerprint is most of the rows.
-    by_print = cut(leaves.join(by_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = tables.keep(leaves.join(by_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    found = cut(prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    tables.remove()
+    return found
 
 
 # ---- near copies by similarity ----------------------------------------------
@@ -351,12 +354,12 @@ def candidates(cells: DataFrame, tasks: int, all_pairs: bool) -> DataFrame:
     return dealt.groupBy("task").applyInArrow(run, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, leaves: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, leaves: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
     """The pairs (u, v) of sets that have SHARE of their shingles in common, counted on whole texts."""
     a, b = SHARE
     side = lambda c: leaves.select(F.col("node").alias(c), F.col("least.key").alias(f"{c}k"))
-    named = cut(pairs.join(side("u"), "u").join(side("v"), "v"))
-    needed = cut(named.select(F.col("uk").alias("key")).unionByName(named.select(F.col("vk").alias("key"))).distinct())
+    named = tables.keep(pairs.join(side("u"), "u").join(side("v"), "v"))
+    needed = tables.keep(named.select(F.col("uk").alias("key")).unionByName(named.select(F.col("vk").alias("key"))).distinct())
     # Few keys are broadcast, so that the other texts stay where they are.
     needed = F.broadcast(needed) if needed.count() <= MOST_KEYS else needed
     own = texts.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
@@ -418,34 +421,38 @@ def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         firsts = [prefix(x, *common.value) for x in sets]
         return pa.record_batch([batch.column(0), batch.column(1), pa.array([name_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), *[pa.array(x) for x in prints.T], pa.array(firsts, pa.list_(pa.int64()))], names=["id", "key", "node", "size", *words, "firsts"])
 
-    prints = cut(map_batches(texts, ["id", "key", "text"], run, f"id long, key string, node long, size int, {', '.join(f'{w} long' for w in words)}, firsts array<long>"))
+    tables = Tables(docs.sparkSession)
+    prints = tables.keep(map_batches(texts, ["id", "key", "text"], run, f"id long, key string, node long, size int, {', '.join(f'{w} long' for w in words)}, firsts array<long>"))
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("least")
-    leaves = cut(prints.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("size", *words)]))
+    leaves = tables.keep(prints.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("size", *words)]))
     # Just (s, node), dealt once by s: the counts below read the same shuffle.
     rows = prints.groupBy("node").agg(F.first("firsts").alias("firsts")).select("node", F.explode("firsts").alias("s")).repartition("s")
     members = rows.groupBy("s").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("of")).where("n > 1")
     once = members.groupBy("of", "n").agg(F.min("s").alias("s"))
-    shared = cut(rows.join(once, "s").select("s", "node", "n"))
+    shared = tables.keep(rows.join(once, "s").select("s", "node", "n"))
     whole = shared.join(leaves.select("node", "size", *words), "node")
     tasks = max(1, -(-shared.count() // leaves_per_task))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most))
     cells = whole.withColumn("cell", F.xxhash64("s", chunk)).withColumn("root", F.col("node"))
-    links = cut(verified(candidates(cells, tasks, False), leaves, texts))
-    roots = cut(components(links))
+    links = tables.keep(verified(candidates(cells, tasks, False), leaves, texts, tables))
+    roots = components(links)
     whole = whole.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    cells, n = meetings(cut(whole), most)
-    links = links.unionByName(verified(candidates(cells, max(1, -(-n // leaves_per_task)), True), leaves, texts))
+    cells = tables.keep(meetings(tables.keep(whole), most))
+    n = cells.count()
+    links = links.unionByName(verified(candidates(cells, max(1, -(-n // leaves_per_task)), True), leaves, texts, tables))
     sets = components(links)
     named = leaves.select("node", "least").join(sets, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("least").alias("head"))
-    by_node = cut(named.join(heads, "root").select("node", "head"))
+    by_node = tables.keep(named.join(heads, "root").select("node", "head"))
     documents = prints.groupBy("id", "key").agg(F.first("node").alias("node"), F.count("*").alias("n"))
     out = documents.join(by_node, "node")
-    return out.select(F.col("id").alias("doc_id"), "key", F.col("head.id").alias("component_id"), "n", (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))).alias("first"))
+    found = cut(out.select(F.col("id").alias("doc_id"), "key", F.col("head.id").alias("component_id"), "n", (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))).alias("first")))
+    tables.remove()
+    return found
 
 
-def meetings(whole: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """Cells in which all sets that share a shingle meet, but for those of its commonest root among themselves; and their rows.
+def meetings(whole: DataFrame, most: int) -> DataFrame:
+    """Cells in which all sets that share a shingle meet, but for those of its commonest root among themselves.
 
     The sets of the commonest root are dealt to cells, and so are the others;
     each cell of the one kind meets each of the other, and others meet others.
@@ -462,5 +469,4 @@ def meetings(whole: DataFrame, most: int) -> tuple[DataFrame, int]:
     # A single cell holds all where there are few.
     one = (F.col("mains") == 1) & (F.col("others") == 1)
     dealt = met.withColumn("c", F.explode(F.when(one, F.array(pair(0, F.lit(0), F.lit(0)))).otherwise(F.concat(with_main, with_others))))
-    cells = cut(dealt.select("node", "root", "size", *[f"f{i}" for i in range(WIDE)], F.xxhash64("s", "c").alias("cell")))
-    return cells, cells.count()
+    return dealt.select("node", "root", "size", *[f"f{i}" for i in range(WIDE)], F.xxhash64("s", "c").alias("cell"))
