@@ -148,3 +148,34 @@ def test_more_setups_see_more(spark):
     reach = 4.0 - grid.surface_margin
     centre = lambda p, t: sum((a + 0.5 - b) ** 2 for a, b in zip(p, t)) ** 0.5
     assert both == {p for p in keys(space) if any(1e-6 < centre(p, t) < reach for t in ((0.5, 0.5, 0.5), (7.5, 0.5, 0.5)))}
+
+
+def test_gaps_and_fields_of_view(spark):
+    from lacuna.operators import rangeimage
+
+    # Scan 0 looks everywhere but at bins 20 to 30; scan 1 across the seam at 55 to 4; scan 2 around the circle with small gaps.
+    seen = {0: [*range(20), *range(31, 60)], 1: [*range(55, 60), *range(5)], 2: [*range(60)], 3: [7]}
+    bins = spark.createDataFrame([(k, ia, ie, 100) for k, own in seen.items() for ia in own for ie in (k, k + 3)], "scan_id int, ia int, ie int, range_cm int")
+    gaps = {(r.scan_id, r.ia): r.gap for r in rangeimage.azimuth_gaps(bins, 60).collect()}
+    assert len(gaps) == sum(map(len, seen.values())) and (gaps[0, 19], gaps[0, 59], gaps[1, 4], gaps[3, 7]) == (12, 1, 51, 60)
+    fov = {r.scan_id: (r.ie_from, r.ie_to, r.ia_from, r.ia_extent) for r in rangeimage.field_of_view(bins, 60).collect()}
+    assert fov == {0: (0, 3, 31, 49), 1: (1, 4, 55, 10), 2: (2, 5, 0, 60), 3: (3, 6, 7, 1)}
+
+
+def test_directions_without_a_return_are_clear(spark):
+    image = spark.createDataFrame([(0, ia, ie, 300 if ia < 30 else None) for ia in range(60) for ie in range(30)], "scan_id int, ia int, ie int, range_cm int")
+    setups = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0])], "scan_id int, q array<double>, t array<double>")
+    grid, t = Grid(voxel=1.0, max_range=6.0), Thresholds(bin_degrees=6.0)
+    seen = {(r.i, r.j, r.k) for r in carve.visible(carve.universe(spark, (-8, -8, -8), (8, 8, 8)), setups, image, grid, t).collect()}
+    for v in np.ndindex(16, 16, 16):
+        x, y, z = (c - 8 + 0.5 for c in v)
+        r = np.sqrt(x * x + y * y + z * z)
+        hit = min(29, np.floor((np.arctan2(y, x) + np.pi) / np.radians(6))) < 30 and np.arctan2(y, x) < 0
+        assert (tuple(c - 8 for c in v) in seen) == (r <= 6 and r < (3 - grid.surface_margin if hit else 6))
+
+
+def test_bricks_give_their_voxels_back(spark):
+    rng = np.random.default_rng(7)
+    want = {tuple(map(int, v)) for v in rng.integers(-20, 20, (300, 3))} | {(7, 7, 7), (-1, -1, -1)}
+    voxels = spark.createDataFrame(sorted(want), "i int, j int, k int")
+    assert {(r.i, r.j, r.k) for r in carve.unpack_bricks(carve.pack_bricks(voxels)).collect()} == want

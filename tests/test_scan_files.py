@@ -137,3 +137,53 @@ def test_source_and_sink(spark, tmp_path):
     assert sorted((r.cartesianX, r.cartesianInvalidState) for r in back.collect()) == sorted((r.cartesianX, r.cartesianInvalidState) for r in frame.collect())
     by_spark = e2807.read_binary(spark.read.format("binaryFile").load(out), ["cartesianX"])
     assert by_spark.count() == 1000
+
+
+def test_sessions_of_several_files(spark, tmp_path):
+    from lacuna.operators import load
+
+    r, az, el = np.array([2.0, 3.0]), np.array([0.5, -1.0]), np.array([0.25, -0.75])
+    cartesian = (Scan([Field("cartesianX"), Field("cartesianY"), Field("cartesianZ"), Field("sphericalRange"), Field("intensity")], 2, 0, name="c"), [r, az, el, r, r])
+    spherical = (Scan([Field("sphericalRange"), Field("sphericalAzimuth"), Field("sphericalElevation"), Field("sphericalInvalidState", "Integer", 0, 2)], 2, 0, name="s"), [r, az, el, np.array([0, 2])])
+    nowhere = (Scan([Field("intensity")], 2, 0, name="n"), [r])
+    one, two, bad = (str(tmp_path / f"{n}.e57") for n in ("one", "two", "bad"))
+    for path, data in ((one, codec.write([cartesian, spherical])), (two, codec.write([nowhere, cartesian])), (bad, b"\xab" * 4096)):
+        with open(path, "wb") as f:
+            f.write(data)
+    scans, points = load.session(spark, [one, bad])
+    assert [(s.scan_id, s.name, s.position_system) for s in scans.orderBy("scan_id").collect()] == [(0, "c", "cartesian"), (1, "s", "spherical")]
+    got = {(p.scan_id, p.record_idx): p for p in points.collect()}
+    assert len(got) == 4 and (got[0, 1].x, got[0, 1].y, got[0, 1].invalid_state, got[0, 1].intensity) == (3.0, -1.0, None, 3.0)
+    assert math.isclose(got[1, 0].x, 2 * math.cos(0.25) * math.cos(0.5)) and (got[1, 1].invalid_state, got[1, 1].red) == (2, None)
+    more = load.append((scans, points), load.session(spark, [two]))
+    assert sorted((s.scan_id, s.name) for s in more[0].collect()) == [(0, "c"), (1, "s"), (2, "n"), (3, "c")]
+    assert sorted({p.scan_id for p in more[1].collect()}) == [0, 1, 3]
+    blocks = load.blocks(points.select("x"), lambda b: b if b.num_rows > 1 else None, "x double")
+    assert {p.x for p in blocks.collect()} <= {p.x for p in got.values()}
+    audit = {os.path.basename(a.path): a for a in load.read(spark, [one, bad], "audit").collect()}
+    assert audit["bad.e57"].error.startswith("bad signature") and audit["one.e57"].error is None
+
+
+def test_files_by_key_hold_their_catalogue(spark, tmp_path):
+    import json
+
+    e2807.register(spark)
+    frame = spark.range(40).selectExpr("id % 2 AS k", "id * 1.0 AS cartesianX")
+    headers = {"0": {"name": "even", "grouping": True, "index_bounds": [1, 2, 3, 4]}, "1": {"name": "odd", "has_pose": True, "t": [1.0, 2.0, 3.0], "bounds": [0.0, 39.0, 0.0, 0.0, 0.0, 0.0]}}
+    out = str(tmp_path / "keyed")
+    frame.coalesce(1).write.format("e2807").option("key", "k").option("scans", json.dumps(headers)).mode("append").save(out)
+    found = spark.read.format("e2807").option("mode", "scans").load(out).orderBy("path").collect()
+    assert [(s.name, s.record_count, s.has_point_grouping, s.col_max, s.has_pose, s.x_max) for s in found] == [("even", 20, True, 4, False, None), ("odd", 20, False, None, True, 39.0)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lacuna.operators.graph import shared_dir
+
+    session = lambda master, named: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": named}))
+    assert shared_dir(session("spark://host:7077", "file:///shared")) == "file:///shared"
+    assert os.path.isdir(shared_dir(session("local[4]", None)))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            shared_dir(session(master, None))
