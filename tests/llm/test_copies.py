@@ -88,21 +88,7 @@ def test_simhash_of_odd_texts(odd, none):
     assert simhash.group_near_copies(none).collect() == []
 
 
-def test_loose_copies(crowd, odd, none):
-    texts = {r.doc_id: r.text for r in crowd.collect()}
-    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in texts.items()}
-    got = {r.doc_id: r.component_id for r in simhash.group_loose_copies(crowd).collect()}
-    assert set(got) == set(texts)
-    near = far = met = 0
-    for a, b in combinations(sorted(texts), 2):
-        j = len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
-        if j >= 0.8:
-            near, met = near + 1, met + (got[a] == got[b])
-        elif j < 0.3:
-            far += got[a] == got[b]
-    assert near > 100 and met >= 0.97 * near and far == 0
-    again = {r.doc_id: r.component_id for r in simhash.group_loose_copies(crowd, most=4, leaves_per_task=50).collect()}
-    assert again == got
+def test_near_copies_of_odd_texts(odd, none):
     found = simhash.group_loose_copies(odd).collect()
     assert {(r.doc_id, r.component_id, r.n, r.first) for r in found} >= {(1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (0, 0, 1, True), (4, 0, 1, False), (7, 7, 2, True), (None, None, 1, True)}
     assert simhash.group_loose_copies(none).collect() == []
@@ -138,24 +124,20 @@ def lone_pairs(changed, n=250):
     return rows
 
 
-def test_every_lone_near_pair_is_found(spark):
-    rows = lone_pairs(4)  # 176 of 216 shingles: 0.81
-    got = {r.doc_id: r.component_id for r in simhash.group_loose_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: i - i % 2 for i, _ in rows}
-
-
-def test_texts_under_the_share_stay_apart(spark, crowd):
-    rows = lone_pairs(5, 60)  # 171 of 221 shingles: 0.77
-    got = {r.doc_id: r.component_id for r in simhash.group_loose_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: i for i, _ in rows}
+def test_near_copies_by_brute_force(spark, crowd):
+    """All pairs at 0.8 or more are linked, and no others: 0.81 (176 of 216 shingles) is, 0.77 (171 of 221) is not."""
     texts = {r.doc_id: r.text for r in crowd.collect()}
+    texts |= {1000 + i: t for i, t in lone_pairs(4)} | {2000 + i: t for i, t in lone_pairs(5, 60)}
     sets = shingle_sets(texts)
-    label = {i: i for i in texts}
-    for a, b in combinations(sorted(texts), 2):
+    label, tried = {i: i for i in texts}, 0
+    for a, b in [*combinations(sorted(i for i in texts if i < 1000), 2), *((i, i + 1) for i in texts if i >= 1000 and i % 2 == 0)]:
         if label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            tried += 1
             label = {i: min(label[a], label[b]) if x in (label[a], label[b]) else x for i, x in label.items()}
-    for most in (512, 2):
-        assert {r.doc_id: r.component_id for r in simhash.group_loose_copies(crowd, most=most).collect()} == label
+    assert tried > 270 and all(label[2001 + 2 * i] != label[2000 + 2 * i] for i in range(60))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for more in ({}, {"most": 2, "leaves_per_task": 50}):
+        assert {r.doc_id: r.component_id for r in simhash.group_loose_copies(docs, **more).collect()} == label
 
 
 def expected_left(rows):
@@ -217,6 +199,67 @@ def test_phrases(odd, none, spark):
     assert phrases.fingerprints(none).collect() == []
 
 
+def naive_print(text):
+    """A text's fingerprint, symbol by symbol."""
+    top, gold = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & top
+        x = (x ^ x >> 29) * 0x9FB21C651E98DF25 & top
+        return x ^ x >> 32
+
+    def toss(names):
+        out = []
+        for i, x in enumerate(names):
+            differ = x ^ names[i - 1] if i else 1
+            low = (differ & -differ).bit_length() - 1
+            out.append(low << 1 | x >> low & 1)
+        return out
+
+    x, names = [ord(c) for c in text], set()
+    for level in range(1, phrases.LEVELS + 1):
+        if not x:
+            break
+        runs = []
+        for c in x:
+            if runs and runs[-1][0] == c:
+                runs[-1][1] += 1
+            else:
+                runs.append([c, 1])
+        x = [c if n == 1 else mix((c + n * gold) & top) for c, n in runs]
+        label = x
+        for _ in range(4):
+            label = toss(label)
+        cuts = [i for i in range(len(x)) if i == 0 or (i + 1 < len(x) and label[i] > label[i - 1] and label[i] > label[i + 1])]
+        x = [mix(sum(mix((c + (p + 1) * gold) & top) for p, c in enumerate(x[a:b])) & top) for a, b in zip(cuts, [*cuts[1:], len(x)])]
+        if level >= phrases.LOWEST:
+            names.update(mix(n) >> 32 for n in x)
+            if len(x) == 1:
+                break
+    return sorted(names)[: phrases.KEPT]
+
+
+def naive_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    least = sorted({*a, *b})[: phrases.KEPT]
+    j = len({*a} & {*b} & {*least}) / len(least)
+    return 2 * j / (1 + j)
+
+
+def test_phrases_against_single_symbols(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "aaaa", "abab" * 30, "日本語 😀 " * 20, *(" ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", "aa"], k=rng.randrange(1, 400))) for _ in range(25))]
+    texts[20:22] = [texts[19], texts[19] + " and more of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = [naive_print(t) for t in texts]
+    for r in phrases.fingerprints(docs).collect():
+        after = (r.doc_id + 1) % len(texts)
+        new = naive_print(phrases.edited(texts[r.doc_id], texts[after]))
+        assert [r.fingerprint, r.edited_fingerprint] == ["".join(f"{x:08x}" for x in p) for p in (own[r.doc_id], new)]
+        assert (r.near_edited, r.near_next) == (pytest.approx(naive_likeness(own[r.doc_id], new)), pytest.approx(naive_likeness(own[r.doc_id], own[after])))
+
+
 def test_phrases_do_not_depend_on_the_offset():
     rng = random.Random(1)
     core = "".join(rng.choices("abcdefgh ", k=4000))
