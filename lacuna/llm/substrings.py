@@ -21,7 +21,14 @@ of them travels as one segment.
 5. The bucket takes the covered words out.
 
 All five steps read the documents from one shuffle. What a shard gets of a
-passage is bounded by the number of buckets, not of documents.
+passage is bounded by the number of buckets, not of documents. A bucket sends a
+shard one piece, and none if it has nothing for it: the number of pieces grows
+faster than the input, up to one for each distinct minimizer of a bucket.
+
+The windows of the segments stream through their shard's index. A search goes on
+backwards as long as more than the window's own place matches, and stops at
+``WINDOW`` words: matching statistics up to the threshold, of which those that
+reach it are reported.
 
 Cases: a null text has no words; a text shorter than a window keeps all; null
 ids come after all others and never make another document's words go; rows of
