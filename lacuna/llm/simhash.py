@@ -308,21 +308,34 @@ def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray) ->
         settle(label, a[taken], b[taken])
 
 
-def candidates(cells: DataFrame, tasks: int, all_pairs: bool) -> DataFrame:
-    """(u, v): sets in one cell, of different roots, with sizes and wide fingerprints that near copies may have.
+def leaves_of(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """cell, node, root, size and fingerprint words of a task's leaves, in the tries' order, and that order."""
+    get = lambda c: table.column(c).to_numpy()
+    values = np.stack([get(f"f{i}") for i in range(WIDE)], axis=1).view(np.uint64)
+    order = np.lexsort((*values.T[::-1], get("cell")))
+    return (*(get(c)[order] for c in ("cell", "node", "root", "size")), values[order], order)
 
-    All such pairs, or else of each task the closest that connect the same sets.
-    """
+
+def alike(size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be near copies."""
     a, b = SHARE
+    return b * np.minimum(size[x], size[y]) >= a * np.maximum(size[x], size[y])
+
+
+def links_table(node: np.ndarray, x: list, y: list) -> pa.Table:
+    none = np.zeros(0, np.int64)
+    us, vs = node[np.concatenate([none, *x])], node[np.concatenate([none, *y])]
+    release()
+    return pa.table({"u": np.minimum(us, vs), "v": np.maximum(us, vs)})
+
+
+def closest(cells: DataFrame, tasks: int) -> DataFrame:
+    """(u, v): of each task the closest pairs of sets that connect all whose sizes and wide fingerprints near copies may have."""
 
     def run(table: pa.Table) -> pa.Table:
-        get = lambda c: table.column(c).to_numpy()
-        values = np.stack([get(f"f{i}") for i in range(WIDE)], axis=1).view(np.uint64)
-        order = np.lexsort((*values.T[::-1], get("cell")))
-        cell, node, root, size, values = (x[order] for x in (get("cell"), get("node"), get("root"), get("size"), values))
+        cell, node, root, size, values, _ = leaves_of(table)
         first, place = np.unique(root, return_index=True, return_inverse=True)[1:]
-        label = first[place]
-        held, count, us, vs = [], 0, [], []
+        label, held, count = first[place], [], 0
 
         def thin() -> None:
             x, y, bits = (np.concatenate(p) for p in zip(*held))
@@ -330,39 +343,87 @@ def candidates(cells: DataFrame, tasks: int, all_pairs: bool) -> DataFrame:
             held[:] = [(x[stay], y[stay], bits[stay])]
 
         for x, y, bits in traverse(cell, values, label, 0, WIDE_BUDGET):
-            alike = b * np.minimum(size[x], size[y]) >= a * np.maximum(size[x], size[y])
-            x, y, bits = x[alike], y[alike], bits[alike]
-            if all_pairs:
-                us.append(np.minimum(node[x], node[y]))
-                vs.append(np.maximum(node[x], node[y]))
-                continue
-            held.append((x, y, bits))
-            count += len(x)
+            ok = alike(size, x, y)
+            held.append((x[ok], y[ok], bits[ok]))
+            count += int(ok.sum())
             if count > PAIRS_HELD:
                 thin()
                 count = len(held[0][0])
         if held:
             thin()
-            x, y, _ = held[0]
-            us, vs = [np.minimum(node[x], node[y])], [np.maximum(node[x], node[y])]
-        none = np.zeros(0, np.int64)
-        found = np.unique(np.stack([np.concatenate([none, *us]), np.concatenate([none, *vs])]), axis=1)
-        release()
-        return pa.table({"u": found[0], "v": found[1]})
+        return links_table(node, [h[0] for h in held], [h[1] for h in held])
 
     dealt = cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int"))
     return dealt.groupBy("task").applyInArrow(run, "u long, v long").distinct()
 
 
+def compared(cells: DataFrame, tasks: int) -> DataFrame:
+    """(u, v): links that connect, with what is known already, all sets of a cell that are near copies.
+
+    The sets come along (own: 32 bits of each shingle), so that pairs within
+    the budget are compared where they meet and none but links leave the task.
+    """
+    a, b = SHARE
+
+    def run(table: pa.Table) -> pa.Table:
+        cell, node, root, size, values, order = leaves_of(table)
+        column = table.column("own").combine_chunks()
+        own = [np.frombuffer(column[int(i)].as_buffer(), np.uint32) for i in order]
+        first, place = np.unique(root, return_index=True, return_inverse=True)[1:]
+        label, us, vs = first[place], [], []
+        for x, y, _ in traverse(cell, values, label, 0, WIDE_BUDGET):
+            ok = alike(size, x, y)
+            x, y = x[ok], y[ok]
+            by_x = np.argsort(x, kind="stable")
+            x, y = x[by_x], y[by_x]
+            edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                i, others = int(x[s]), y[s:e]
+                others = others[label[others] != label[i]]
+                if not len(others):
+                    continue
+                theirs = np.concatenate([own[k] for k in others.tolist()])
+                starts = np.cumsum([0, *(len(own[k]) for k in others[:-1].tolist())])
+                at = np.minimum(np.searchsorted(own[i], theirs), len(own[i]) - 1)
+                same = np.add.reduceat((own[i][at] == theirs).astype(np.int64), starts)
+                near = others[b * same >= a * (size[i].astype(np.int64) + size[others] - same)]
+                if len(near):
+                    one = near[np.unique(label[near], return_index=True)[1]]
+                    us.append(np.full(len(one), i))
+                    vs.append(one)
+                    settle(label, np.full(len(near), i), near)
+        return links_table(node, us, vs)
+
+    dealt = cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int"))
+    return dealt.groupBy("task").applyInArrow(run, "u long, v long").distinct()
+
+
+def texts_of(keys: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """(key, text) of some keys, once each."""
+    needed = tables.keep(keys.distinct())
+    # Few keys are broadcast, so that the other texts stay where they are.
+    needed = F.broadcast(needed) if needed.count() <= MOST_KEYS else needed
+    return texts.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+
+
+def own_sets(nodes: DataFrame, leaves: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """(node, own): 32 bits of each shingle of some sets, ascending."""
+    keyed = tables.keep(nodes.distinct().join(leaves.select("node", F.col("least.key").alias("key")), "node"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingles(x).astype(np.uint32)).tobytes() for x in batch.column(1).to_pylist()]
+        return pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "own"])
+
+    both = keyed.join(texts_of(keyed.select("key"), texts, tables), "key").select("node", "text")
+    return map_batches(both, ["node", "text"], run, "node long, own binary")
+
+
 def verified(pairs: DataFrame, leaves: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
     """The pairs (u, v) of sets that have SHARE of their shingles in common, counted on whole texts."""
     a, b = SHARE
     side = lambda c: leaves.select(F.col("node").alias(c), F.col("least.key").alias(f"{c}k"))
     named = tables.keep(pairs.join(side("u"), "u").join(side("v"), "v"))
-    needed = tables.keep(named.select(F.col("uk").alias("key")).unionByName(named.select(F.col("vk").alias("key"))).distinct())
-    # Few keys are broadcast, so that the other texts stay where they are.
-    needed = F.broadcast(needed) if needed.count() <= MOST_KEYS else needed
-    own = texts.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    own = texts_of(named.select(F.col("uk").alias("key")).unionByName(named.select(F.col("vk").alias("key"))), texts, tables)
     both = named.join(own.select(F.col("key").alias("uk"), F.col("text").alias("ut")), "uk").join(own.select(F.col("key").alias("vk"), F.col("text").alias("vt")), "vk")
 
     def run(batches):
@@ -392,7 +453,7 @@ def verified(pairs: DataFrame, leaves: DataFrame, texts: DataFrame, tables: Tabl
     return both.select("u", "v", "uk", "vk", "ut", "vt").mapInArrow(run, "u long, v long")
 
 
-def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 512, leaves_per_task: int = 20_000) -> DataFrame:
+def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 512, leaves_per_task: int = 20_000, sets_per_task: int = 4_000) -> DataFrame:
     """Near copies: texts with 0.8 of their distinct five-word shingles in common, and what these connect.
 
     Per distinct document (id and text): doc_id, key (its text's digest),
@@ -409,7 +470,8 @@ def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     round takes of each cell (at most about ``most`` sets that share a shingle)
     just the closest pairs that connect it; in the second, sets that are known
     to be connected are left out, and all others that share a shingle meet, in
-    as many cells as that takes.
+    as many cells as that takes, with their shingles. Pairs are compared there,
+    and only links that connect something leave a cell.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
@@ -434,12 +496,13 @@ def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tasks = max(1, -(-shared.count() // leaves_per_task))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most))
     cells = whole.withColumn("cell", F.xxhash64("s", chunk)).withColumn("root", F.col("node"))
-    links = tables.keep(verified(candidates(cells, tasks, False), leaves, texts, tables))
+    links = tables.keep(verified(closest(cells, tasks), leaves, texts, tables))
     roots = components(links)
-    whole = whole.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    cells = tables.keep(meetings(tables.keep(whole), most))
-    n = cells.count()
-    links = links.unionByName(verified(candidates(cells, max(1, -(-n // leaves_per_task)), True), leaves, texts, tables))
+    whole = tables.keep(whole.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    cells = tables.keep(meetings(whole, most))
+    own = tables.keep(own_sets(cells.select("node"), leaves, texts, tables))
+    tasks = max(1, -(-cells.count() // sets_per_task))
+    links = links.unionByName(verified(compared(cells.join(own, "node"), tasks), leaves, texts, tables))
     sets = components(links)
     named = leaves.select("node", "least").join(sets, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("least").alias("head"))
@@ -452,21 +515,23 @@ def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def meetings(whole: DataFrame, most: int) -> DataFrame:
-    """Cells in which all sets that share a shingle meet, but for those of its commonest root among themselves.
+    """Cells in which all sets that share a shingle meet, but for those of one root.
 
-    The sets of the commonest root are dealt to cells, and so are the others;
-    each cell of the one kind meets each of the other, and others meet others.
+    Of each shingle the commonest root is the main one. Its sets meet the
+    others of all its shingles at once; these meet each other shingle by
+    shingle. Both are dealt to chunks, and each pair of chunks is a cell.
     """
+    columns = ["node", "root", "size", *[f"f{i}" for i in range(WIDE)]]
     by_root = whole.groupBy("s", "root").agg(F.count("*").alias("k"))
-    crowds = by_root.groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("n"), F.count("*").alias("roots"))
-    crowds = crowds.where("roots > 1").select("s", "main", F.ceil(F.col("k") / most).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("k")) / most).cast("int").alias("others"))
-    met = whole.drop("n").join(crowds, "s")
-    own_main, own_other = F.pmod(F.xxhash64("node"), F.col("mains")).cast("int"), F.pmod(F.xxhash64("node"), F.col("others")).cast("int")
+    mains = by_root.groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("rest"), F.count("*").alias("roots")).where("roots > 1")
+    met = whole.select("s", *columns).join(mains, "s")
+    chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
-    with_main = F.when(F.col("root") == F.col("main"), F.transform(upto("others"), lambda j: pair(0, own_main, j))).otherwise(F.transform(upto("mains"), lambda i: pair(0, i, own_other)))
-    with_others = F.when(F.col("root") == F.col("main"), F.array().cast("array<struct<kind:int,i:int,j:int>>")).otherwise(F.transform(upto("others"), lambda j: pair(1, F.least(own_other, j), F.greatest(own_other, j))))
-    # A single cell holds all where there are few.
-    one = (F.col("mains") == 1) & (F.col("others") == 1)
-    dealt = met.withColumn("c", F.explode(F.when(one, F.array(pair(0, F.lit(0), F.lit(0)))).otherwise(F.concat(with_main, with_others))))
-    return dealt.select("node", "root", "size", *[f"f{i}" for i in range(WIDE)], F.xxhash64("s", "c").alias("cell"))
+    cell = lambda name, i, j: F.xxhash64(F.lit(name), F.col(name), i, j)
+    with_main = met.dropDuplicates(["main", "node"])
+    is_main = F.col("root") == F.col("main")
+    crowds = with_main.groupBy("main").agg(F.ceil(F.count_if(is_main) / most).cast("int").alias("mains"), F.ceil(F.count_if(~is_main) / most).cast("int").alias("others"))
+    with_main = with_main.join(crowds, "main").withColumn("cell", F.explode(F.when(is_main, F.transform(upto("others"), lambda j: cell("main", chunk("mains"), j))).otherwise(F.transform(upto("mains"), lambda i: cell("main", i, chunk("others"))))))
+    rest = met.where((F.col("roots") > 2) & ~is_main).withColumn("others", F.ceil(F.col("rest") / most).cast("int"))
+    rest = rest.withColumn("cell", F.explode(F.transform(upto("others"), lambda j: cell("s", F.least(chunk("others"), j), F.greatest(chunk("others"), j)))))
+    return with_main.select(*columns, "cell").unionByName(rest.select(*columns, "cell"))
