@@ -357,6 +357,25 @@ def closest(cells: DataFrame, tasks: int) -> DataFrame:
     return dealt.groupBy("task").applyInArrow(run, "u long, v long").distinct()
 
 
+def candidates(cells: DataFrame, tasks: int) -> DataFrame:
+    """The rows of sets that have, in their cell, another of another root whose size and wide fingerprint a near copy may have."""
+    names = cells.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        cell, _, root, size, values, order = leaves_of(table)
+        first, place = np.unique(root, return_index=True, return_inverse=True)[1:]
+        near = np.zeros(len(order), bool)
+        for x, y, _ in traverse(cell, values, first[place], 0, WIDE_BUDGET):
+            ok = alike(size, x, y)
+            near[x[ok]] = near[y[ok]] = True
+        found = table.select(names).take(order[near])
+        release()
+        return found
+
+    dealt = cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int"))
+    return dealt.groupBy("task").applyInArrow(run, cells.schema)
+
+
 def compared(cells: DataFrame, tasks: int) -> DataFrame:
     """(u, v): links that connect, with what is known already, all sets of a cell that are near copies.
 
@@ -470,8 +489,9 @@ def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     round takes of each cell (at most about ``most`` sets that share a shingle)
     just the closest pairs that connect it; in the second, sets that are known
     to be connected are left out, and all others that share a shingle meet, in
-    as many cells as that takes, with their shingles. Pairs are compared there,
-    and only links that connect something leave a cell.
+    as many cells as that takes. Those with a pair within the budget meet once
+    more, with their shingles. Pairs are compared there, and only links that
+    connect something leave a cell.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
@@ -500,6 +520,7 @@ def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(links)
     whole = tables.keep(whole.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     cells = tables.keep(meetings(whole, most))
+    cells = tables.keep(candidates(cells, max(1, -(-cells.count() // leaves_per_task))))
     own = tables.keep(own_sets(cells.select("node"), leaves, texts, tables))
     tasks = max(1, -(-cells.count() // sets_per_task))
     links = links.unionByName(verified(compared(cells.join(own, "node"), tasks), leaves, texts, tables))
