@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import Tables, components, cut
 from .common import map_batches, release
@@ -358,36 +359,45 @@ def closest(cells: DataFrame, tasks: int) -> DataFrame:
 
 
 def candidates(cells: DataFrame, tasks: int) -> DataFrame:
-    """The rows of sets that have, in their cell, another of another root whose size and wide fingerprint a near copy may have."""
+    """The rows of sets that have, in their cell, another of another root whose size and wide fingerprint a near copy may have.
+
+    Each with the least such node of its cell (home): sets that share several
+    shingles meet in as many cells, which mostly have one home.
+    """
     names = cells.columns
 
     def run(table: pa.Table) -> pa.Table:
-        cell, _, root, size, values, order = leaves_of(table)
+        cell, node, root, size, values, order = leaves_of(table)
         first, place = np.unique(root, return_index=True, return_inverse=True)[1:]
         near = np.zeros(len(order), bool)
         for x, y, _ in traverse(cell, values, first[place], 0, WIDE_BUDGET):
             ok = alike(size, x, y)
             near[x[ok]] = near[y[ok]] = True
-        found = table.select(names).take(order[near])
+        cell, node = cell[near], node[near]
+        at, count = np.unique(cell, return_index=True, return_counts=True)[1:]
+        home = np.repeat(np.minimum.reduceat(node, at), count) if len(at) else node
+        found = table.select(names).take(order[near]).append_column("home", pa.array(home, pa.int64()))
         release()
         return found
 
     dealt = cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("task").applyInArrow(run, cells.schema)
+    return dealt.groupBy("task").applyInArrow(run, T.StructType([*cells.schema.fields, T.StructField("home", T.LongType())]))
 
 
-def compared(cells: DataFrame, tasks: int) -> DataFrame:
+def compared(cells: DataFrame, own: DataFrame, tasks: int) -> DataFrame:
     """(u, v): links that connect, with what is known already, all sets of a cell that are near copies.
 
-    The sets come along (own: 32 bits of each shingle), so that pairs within
-    the budget are compared where they meet and none but links leave the task.
+    The sets come along (own: 32 bits of each shingle), once for all cells of a
+    task, so that pairs within the budget are compared where they meet and none
+    but links leave the task.
     """
     a, b = SHARE
 
-    def run(table: pa.Table) -> pa.Table:
-        cell, node, root, size, values, order = leaves_of(table)
-        column = table.column("own").combine_chunks()
-        own = [np.frombuffer(column[int(i)].as_buffer(), np.uint32) for i in order]
+    def run(table: pa.Table, sets: pa.Table) -> pa.Table:
+        cell, node, root, size, values, _ = leaves_of(table)
+        names, column = sets.column("name").to_numpy(), sets.column("own").combine_chunks()
+        by_name = np.argsort(names)
+        own = [np.frombuffer(column[i].as_buffer(), np.uint32) for i in by_name[np.searchsorted(names[by_name], node)].tolist()]
         first, place = np.unique(root, return_index=True, return_inverse=True)[1:]
         label, us, vs = first[place], [], []
         for x, y, _ in traverse(cell, values, label, 0, WIDE_BUDGET):
@@ -413,8 +423,9 @@ def compared(cells: DataFrame, tasks: int) -> DataFrame:
                     settle(label, np.full(len(near), i), near)
         return links_table(node, us, vs)
 
-    dealt = cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("task").applyInArrow(run, "u long, v long").distinct()
+    dealt = cells.withColumn("task", F.pmod(F.xxhash64("home"), F.lit(tasks)).cast("int"))
+    sets = dealt.select(F.col("task").alias("at"), F.col("node").alias("name")).distinct().join(own.withColumnRenamed("node", "name"), "name")
+    return dealt.groupBy("task").cogroup(sets.groupBy("at")).applyInArrow(run, "u long, v long").distinct()
 
 
 def texts_of(keys: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
@@ -472,7 +483,7 @@ def verified(pairs: DataFrame, leaves: DataFrame, texts: DataFrame, tables: Tabl
     return both.select("u", "v", "uk", "vk", "ut", "vt").mapInArrow(run, "u long, v long")
 
 
-def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 512, leaves_per_task: int = 20_000, sets_per_task: int = 4_000) -> DataFrame:
+def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 512, leaves_per_task: int = 4_000, shingles_per_task: int = 2_000_000) -> DataFrame:
     """Near copies: texts with 0.8 of their distinct five-word shingles in common, and what these connect.
 
     Per distinct document (id and text): doc_id, key (its text's digest),
@@ -522,8 +533,9 @@ def group_loose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cells = tables.keep(meetings(whole, most))
     cells = tables.keep(candidates(cells, max(1, -(-cells.count() // leaves_per_task))))
     own = tables.keep(own_sets(cells.select("node"), leaves, texts, tables))
-    tasks = max(1, -(-cells.count() // sets_per_task))
-    links = links.unionByName(verified(compared(cells.join(own, "node"), tasks), leaves, texts, tables))
+    held = cells.select("home", "node", "size").distinct().agg(F.sum("size")).first()[0] or 0
+    tasks = max(1, -(-held // shingles_per_task))
+    links = links.unionByName(verified(compared(cells, own, tasks), leaves, texts, tables))
     sets = components(links)
     named = leaves.select("node", "least").join(sets, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("least").alias("head"))
