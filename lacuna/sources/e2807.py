@@ -41,6 +41,8 @@ SCHEMAS = {
     "audit": "path string, scan_index int, records bigint, decoded bigint, error string",
 }
 CHUNK = 65_536
+#: Records that a writing task holds back at most, for all of its files.
+HELD = 4 * CHUNK
 
 
 def open_file(path: str) -> codec.Paged:
@@ -64,9 +66,10 @@ def point_batches(path: str, index: int, file: codec.Paged, scan: codec.Scan, fi
     missing = [f for f in fields if f not in there]
     if missing and strict:
         raise codec.FormatError(f"no field {missing[0]}")
+    parts = codec.located(file, scan, [f for f in fields if f in there]) if low < high else []
     for a in range(low, high, CHUNK):
         b = min(high, a + CHUNK)
-        got = codec.decode(file, scan, [f for f in fields if f in there], a, b)
+        got = codec.decode(file, scan, [f for f in fields if f in there], a, b, parts)
         n = b - a
         columns = [pa.array([path] * n), pa.array(np.full(n, index, np.int32)), pa.array(np.arange(a, b))]
         columns += [pa.array(got[f]) if f in got else pa.nulls(n, pa.float64()) for f in fields]
@@ -166,11 +169,36 @@ class Reader(DataSourceReader):
                 raise
 
 
+class Growing:
+    """A file under a hidden name, and its records that are not yet written."""
+
+    def __init__(self, path: str, file: codec.ScanFile):
+        self.path, self.file = path, file
+        self.tables: list[pa.Table] = []
+        self.waiting = 0
+
+    def take(self, table: pa.Table) -> None:
+        self.tables.append(table)
+        self.waiting += table.num_rows
+
+    def flush(self, unit: int) -> int:
+        """Writes a multiple of so many records; how many."""
+        n = self.waiting // unit * unit
+        if n:
+            table, self.waiting = pa.concat_tables(self.tables), self.waiting - n
+            self.file.add([table.column(f.name)[:n].to_numpy() for f in self.file.scan.fields], n)
+            # Copied, since a slice would keep all of the table.
+            self.tables = [table.take(pa.array(np.arange(n, table.num_rows)))]
+        return n
+
+
 class Writer(DataSourceArrowWriter):
     """One file of one scan for each task, or for each value of the column ``key`` in a task.
 
     ``prototype`` (JSON list of fields) says how columns are packed; ``scans``
     (JSON, by key) what a scan's catalogue entry holds, its own fields included.
+    Records go to their file as they come, so that a task's memory does not grow
+    with its scans; files get their names when the task has all of its rows.
     """
 
     def __init__(self, options: dict, columns: list[str]):
@@ -182,23 +210,47 @@ class Writer(DataSourceArrowWriter):
         self.per_packet = int(options.get("records_per_packet", 512))
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        table = pa.Table.from_batches(held) if (held := list(batches)) else None
-        if table is not None and table.num_rows:
-            os.makedirs(self.path, exist_ok=True)
-            for key in table.column(self.key).unique().to_pylist() if self.key else [None]:
-                self.save(table.filter(pa.compute.equal(table.column(self.key), key)) if self.key else table, key)
+        files: dict = {}
+        # Of packets that end at a whole byte of every field.
+        unit, held = max(1, CHUNK // (8 * self.per_packet)) * 8 * self.per_packet, 0
+        try:
+            for table in (pa.Table.from_batches([b]) for b in batches if b.num_rows):
+                for key, part in self.by_key(table):
+                    if key not in files:
+                        files[key] = self.begin(key)
+                    files[key].take(part)
+                    held += part.num_rows - files[key].flush(unit)
+                if held > HELD:
+                    held -= sum(f.flush(8) for f in files.values())
+            for f in files.values():
+                f.flush(1)
+                f.file.close()
+            for f in files.values():
+                os.replace(f.file.path, f.path)
+        finally:
+            for f in files.values():
+                if os.path.exists(f.file.path):
+                    os.remove(f.file.path)
         return WriterCommitMessage()
 
-    def save(self, table: pa.Table, key) -> None:
+    def by_key(self, table: pa.Table) -> Iterator[tuple]:
+        if not self.key:
+            yield None, table
+            return
+        column = table.column(self.key)
+        found = column.unique().to_pylist()
+        for key in found:
+            own = pa.compute.is_null(column) if key is None else pa.compute.equal(column, key)
+            yield key, table if len(found) == 1 else table.filter(own)
+
+    def begin(self, key) -> Growing:
+        os.makedirs(self.path, exist_ok=True)
         own = dict(self.headers.get(str(key), {}))
         fields = [codec.Field(**f) for f in own.pop("fields")] if "fields" in own else self.fields
         unique = uuid.uuid4().hex
-        scan = codec.Scan(fields, table.num_rows, 0, **({"guid": "{" + unique + "}", "name": unique} | own))
-        columns = [table.column(f.name).to_numpy() for f in fields]
-        hidden = os.path.join(self.path, f".{unique}.tmp")
-        with open(hidden, "wb") as f:
-            f.write(codec.write([(scan, columns)], self.per_packet))
-        os.replace(hidden, os.path.join(self.path, f"part-{'' if key is None else f'{key:08d}-'}{unique}.e57"))
+        scan = codec.Scan(fields, 0, 0, **({"guid": "{" + unique + "}", "name": unique} | own))
+        file = codec.ScanFile(os.path.join(self.path, f".{unique}.tmp"), scan, self.per_packet)
+        return Growing(os.path.join(self.path, f"part-{'' if key is None else f'{key:08d}-'}{unique}.e57"), file)
 
 
 class E2807(DataSource):

@@ -176,6 +176,70 @@ def test_files_by_key_hold_their_catalogue(spark, tmp_path):
     assert [(s.name, s.record_count, s.has_point_grouping, s.col_max, s.has_pose, s.x_max) for s in found] == [("even", 20, True, 4, False, None), ("odd", 20, False, None, True, 39.0)]
 
 
+def test_a_file_written_as_records_come(tmp_path):
+    fields = [Field("cartesianX"), Field("intensity", "Integer", 0, 2047), Field("cartesianInvalidState", "Integer", 0, 2), Field("rowIndex", "Integer", 7, 7), Field("colorRed", precision="single")]
+    for n in (0, 1, 8, 55, 56, 57, 1000):
+        values = [np.arange(n) / 7, ints(n, 0, 2047, 1), ints(n, 0, 2, 2), np.full(n, 7), np.arange(n) / 8]
+        for k, steps in enumerate((56, 8)):
+            path = str(tmp_path / f"{n}-{k}.e57")
+            file = codec.ScanFile(path, Scan(fields, 0, 0, "g", "s & t", True), 7)
+            for a in range(0, n, steps):
+                file.add([v[a : a + steps] for v in values], len(values[0][a : a + steps]))
+            file.close()
+            with open(path, "rb") as f:
+                data = f.read()
+            if steps == 56:
+                assert data == codec.write([(Scan(fields, n, 0, "g", "s & t", True), values)], 7)
+            stored, computed = codec.pages(data)
+            assert (stored == computed).all()
+            file = Paged(data)
+            (scan,) = codec.catalogue(file)
+            got = codec.decode(file, scan, [f.name for f in fields])
+            assert scan.records == n and all((got[f.name] == v).all() for f, v in zip(fields, values))
+
+
+def test_a_task_holds_little_of_its_scans(tmp_path):
+    """Its scans mixed with each other, and many times what is held back."""
+    import json
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, k = 20_000, 60
+    headers = {str(i): {"name": f"s{i}", "fields": [{"name": "cartesianX"}]} for i in range(3)}
+
+    def batches():
+        for b in range(k):
+            at = np.arange(b * n, b * n + n)
+            yield pa.record_batch([pa.array([None if x % 1000 == 0 else int(x % 3) for x in at], pa.int32()), pa.array(at / 4)], names=["k", "cartesianX"])
+
+    writer = e2807.Writer({"path": str(tmp_path / "out"), "key": "k", "scans": json.dumps(headers)}, ["k", "cartesianX"])
+    pa_before, most = pa.total_allocated_bytes(), 0
+
+    def watched():
+        nonlocal most
+        for b in batches():
+            most = max(most, pa.total_allocated_bytes() - pa_before)
+            yield b
+
+    tracemalloc.start()
+    writer.write(watched())
+    most += tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 0.7 * n * k * 12
+    names = sorted(os.listdir(tmp_path / "out"))
+    assert len(names) == 4 and all(x.endswith(".e57") for x in names)
+    got = {}
+    for name in names:
+        file = e2807.open_file(str(tmp_path / "out" / name))
+        (scan,) = codec.catalogue(file)
+        got[scan.name if scan.name in ("s0", "s1", "s2") else "none"] = codec.decode(file, scan, ["cartesianX"])["cartesianX"]
+    at = np.arange(n * k)
+    for i in range(3):
+        assert (got[f"s{i}"] == at[(at % 3 == i) & (at % 1000 > 0)] / 4).all()
+    assert (got["none"] == at[at % 1000 == 0] / 4).all()
+
+
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
