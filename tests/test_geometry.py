@@ -44,6 +44,16 @@ def test_moved_points_are_tested_about_the_pose(spark):
     assert got.kind == "structured" and "testing about the pose translation (points appear pre-transformed)" in got.evidence
 
 
+def test_counts_are_shown_as_c_shows_them(spark):
+    from lacuna.functions.text import human_count
+
+    ns = [0, 999, 1000, 1049, 1050, 1150, 1250, 1350, 99_950, 999_949, 999_950, 999_999, 1_000_000, 1_150_000, 2_250_000, 6_250_000, 12_250_000, 20_250_000, 10**15 + 50_000, 2**53 - 1, 2**63 - 1]
+    ns += [1000 + 50 * k for k in range(2000)] + [50_000 * k for k in range(20, 3000)] + np.random.default_rng(1).integers(0, 2**50, 3000).tolist()
+    shown = lambda n: f"{n / 1e6:.1f} M" if n >= 1_000_000 else f"{n / 1e3:.1f} k" if n >= 1_000 else str(n)
+    got = spark.createDataFrame([(n,) for n in ns], "n long")
+    assert [r for r in got.select("n", human_count(got.n).alias("shown")).collect() if r.shown != shown(r.n)] == []
+
+
 def view():
     out = camera.OrbitCamera()
     out.set_viewport(800, 600)
