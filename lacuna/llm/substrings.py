@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoAgeCache, release
+from .common import release
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 13, 5
@@ -61,8 +62,6 @@ DOCS_PER_BUCKET, BYTES_PER_BUCKET, BYTES_PER_SHARD = 1024, 4 << 20, 12 << 20
 POWERS = np.cumprod(np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64))
 PIECES = "shard int, bucket int, data binary"
 
-_words = TwoAgeCache(lambda w: xxhash.xxh64_intdigest(w) >> 16, 12 << 20)
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
@@ -102,8 +101,7 @@ class Bucket:
         ids = docs.column("doc_id").fill_null(NO_ID).to_numpy()
         split = [(x or "").encode().split() for x in docs.column("text").to_pylist()]
         sizes = np.array([len(x) for x in split], np.int64)
-        look = _words.__getitem__
-        words = np.fromiter((look(w) for own in split for w in own), np.uint64, int(sizes.sum()))
+        words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, int(sizes.sum())) >> np.uint64(16)
         n = len(words) - WINDOW + 1
         if n <= 0:
             none = np.zeros(0, np.int64)
