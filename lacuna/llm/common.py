@@ -66,6 +66,14 @@ def release() -> None:
         pass
 
 
+def released(fn: Callable[..., pa.Table], *given) -> pa.Table:
+    """What ``fn`` makes of a group of rows; all else that it took is given back once its variables are gone."""
+    try:
+        return fn(*given)
+    finally:
+        release()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

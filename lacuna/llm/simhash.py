@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import Tables, components, cut
-from .common import map_batches, release
+from .common import map_batches, release, released
+from .fmindex import Bits
 
 BITS, BUDGET = 64, 4
 #: (left rotation, bits in front) of each trie: the five blocks of a fingerprint.
@@ -41,7 +42,7 @@ PIECE = 1 << 16
 #: Node pairs with at most this many leaf pairs are compared leaf by leaf.
 FEW = 16
 #: Node pairs taken on together.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -113,7 +114,7 @@ def traverse(group: np.ndarray, values: np.ndarray, label: np.ndarray, front: in
     big = hi - lo > 1
     lo, hi = lo[big], hi[big]
     stack = [(front, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
-    ones: dict[int, np.ndarray] = {}
+    ones: dict[int, Bits] = {}  # by depth: a quarter of a byte a leaf, as there may be as many as bits in a value
     while stack:
         depth, alo, ahi, blo, bhi, spent = stack.pop()
         size = (ahi - alo) * (bhi - blo)
@@ -140,9 +141,9 @@ def traverse(group: np.ndarray, values: np.ndarray, label: np.ndarray, front: in
         if depth >= total or not len(alo):
             continue
         if depth not in ones:
-            ones[depth] = np.concatenate([[0], np.cumsum((words[:, depth // BITS] >> np.uint64(BITS - 1 - depth % BITS) & np.uint64(1)).astype(np.int64))])
-        one = ones[depth]
-        amid, bmid = ahi - (one[ahi] - one[alo]), bhi - (one[bhi] - one[blo])
+            ones[depth] = Bits((words[:, depth // BITS] >> np.uint64(BITS - 1 - depth % BITS) & np.uint64(1)).astype(np.uint8))
+        one = ones[depth].rank1
+        amid, bmid = ahi - (one(ahi) - one(alo)), bhi - (one(bhi) - one(blo))
         same = alo == blo
         parts = [
             (alo, amid, blo, bmid, spent),
@@ -198,7 +199,7 @@ def links(fps: DataFrame, most: int = 250_000, leaves_per_task: int = 200_000) -
         back = lambda x: np.where(left > 0, x >> left | x << (np.uint64(BITS) - left) % np.uint64(BITS), x)
         return pa.table({"u": back(value[joined]).view(np.int64), "v": back(value[label[joined]]).view(np.int64)})
 
-    return spread.groupBy("task").applyInArrow(run, "u long, v long")
+    return spread.groupBy("task").applyInArrow(lambda t: released(run, t), "u long, v long")
 
 
 def group_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -230,6 +231,8 @@ SAMPLE, OFTEN, MOST_COMMON = 10_000, 3, 200_000
 MOST_KEYS = 200_000
 #: Sets of shingles a worker keeps, in shingles.
 HELD = 2_000_000
+#: Shingles of other sets that a set is compared with together.
+TOGETHER = 1 << 18
 #: Leaf pairs held before they are thinned to a forest.
 PAIRS_HELD = 1 << 20
 
@@ -326,7 +329,6 @@ def alike(size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def links_table(node: np.ndarray, x: list, y: list) -> pa.Table:
     none = np.zeros(0, np.int64)
     us, vs = node[np.concatenate([none, *x])], node[np.concatenate([none, *y])]
-    release()
     return pa.table({"u": np.minimum(us, vs), "v": np.maximum(us, vs)})
 
 
@@ -355,7 +357,7 @@ def closest(cells: DataFrame, tasks: int) -> DataFrame:
         return links_table(node, [h[0] for h in held], [h[1] for h in held])
 
     dealt = cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("task").applyInArrow(run, "u long, v long").distinct()
+    return dealt.groupBy("task").applyInArrow(lambda t: released(run, t), "u long, v long").distinct()
 
 
 def candidates(cells: DataFrame, tasks: int) -> DataFrame:
@@ -377,11 +379,23 @@ def candidates(cells: DataFrame, tasks: int) -> DataFrame:
         at, count = np.unique(cell, return_index=True, return_counts=True)[1:]
         home = np.repeat(np.minimum.reduceat(node, at), count) if len(at) else node
         found = table.select(names).take(order[near]).append_column("home", pa.array(home, pa.int64()))
-        release()
         return found
 
     dealt = cells.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("task").applyInArrow(run, T.StructType([*cells.schema.fields, T.StructField("home", T.LongType())]))
+    return dealt.groupBy("task").applyInArrow(lambda t: released(run, t), T.StructType([*cells.schema.fields, T.StructField("home", T.LongType())]))
+
+
+def portions(which: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
+    """Some sets, in order, in portions of about ``most`` shingles."""
+    return np.split(which, np.flatnonzero(np.diff(np.cumsum(size[which], dtype=np.int64) // most)) + 1)
+
+
+def in_common(own: list[np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
+    """How many shingles a set shares with each of some others."""
+    theirs = np.concatenate([own[k] for k in others.tolist()])
+    starts = np.cumsum([0, *(len(own[k]) for k in others[:-1].tolist())])
+    at = np.minimum(np.searchsorted(own[i], theirs), len(own[i]) - 1)
+    return np.add.reduceat((own[i][at] == theirs).astype(np.int64), starts)
 
 
 def compared(cells: DataFrame, own: DataFrame, tasks: int) -> DataFrame:
@@ -409,23 +423,22 @@ def compared(cells: DataFrame, own: DataFrame, tasks: int) -> DataFrame:
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 i, others = int(x[s]), y[s:e]
                 others = others[label[others] != label[i]]
-                if not len(others):
-                    continue
-                theirs = np.concatenate([own[k] for k in others.tolist()])
-                starts = np.cumsum([0, *(len(own[k]) for k in others[:-1].tolist())])
-                at = np.minimum(np.searchsorted(own[i], theirs), len(own[i]) - 1)
-                same = np.add.reduceat((own[i][at] == theirs).astype(np.int64), starts)
-                near = others[b * same >= a * (size[i].astype(np.int64) + size[others] - same)]
-                if len(near):
-                    one = near[np.unique(label[near], return_index=True)[1]]
-                    us.append(np.full(len(one), i))
-                    vs.append(one)
-                    settle(label, np.full(len(near), i), near)
+                for part in portions(others, size, TOGETHER):
+                    part = part[label[part] != label[i]]
+                    if not len(part):
+                        continue
+                    same = in_common(own, i, part)
+                    near = part[b * same >= a * (size[i].astype(np.int64) + size[part] - same)]
+                    if len(near):
+                        one = near[np.unique(label[near], return_index=True)[1]]
+                        us.append(np.full(len(one), i))
+                        vs.append(one)
+                        settle(label, np.full(len(near), i), near)
         return links_table(node, us, vs)
 
     dealt = cells.withColumn("task", F.pmod(F.xxhash64("home"), F.lit(tasks)).cast("int"))
     sets = dealt.select(F.col("task").alias("at"), F.col("node").alias("name")).distinct().join(own.withColumnRenamed("node", "name"), "name")
-    return dealt.groupBy("task").cogroup(sets.groupBy("at")).applyInArrow(run, "u long, v long").distinct()
+    return dealt.groupBy("task").cogroup(sets.groupBy("at")).applyInArrow(lambda t, s: released(run, t, s), "u long, v long").distinct()
 
 
 def texts_of(keys: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release
+from .common import released
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 13, 5
@@ -290,8 +290,6 @@ def answer_segments(sent: pa.Table) -> pa.Table:
     first = np.cumsum(windows) - windows
     covered = earliest[stretch(first[which], windows[which])] < np.repeat(owner, windows[which])
     edge = np.concatenate([[0], np.cumsum(windows[which])])[np.cumsum([0, *(len(x[0]) for x in got)])]
-    del index, text, words, raw, low, high
-    release()
     return pieces(sent.column("shard").to_pylist(), sent.column("bucket").to_pylist(), [pack(np.packbits(covered[a:b])) for a, b in zip(edge, edge[1:])])
 
 
@@ -332,12 +330,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     rows = docs.select(*columns).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
 
     codes = (
-        rows.groupBy("bucket").applyInArrow(lambda t: send_keys(t, shards), PIECES)
-        .groupBy("shard").applyInArrow(lambda t: answer_keys(t, crowd), PIECES)
+        rows.groupBy("bucket").applyInArrow(lambda t: released(send_keys, t, shards), PIECES)
+        .groupBy("shard").applyInArrow(lambda t: released(answer_keys, t, crowd), PIECES)
     )
     masks = (
-        rows.groupBy("bucket").cogroup(codes.groupBy("bucket")).applyInArrow(lambda d, a: send_segments(d, a, shards), PIECES)
-        .groupBy("shard").applyInArrow(answer_segments, PIECES)
+        rows.groupBy("bucket").cogroup(codes.groupBy("bucket")).applyInArrow(lambda d, a: released(send_segments, d, a, shards), PIECES)
+        .groupBy("shard").applyInArrow(lambda t: released(answer_segments, t), PIECES)
     )
     answers = codes.withColumn("kind", F.lit(0)).unionByName(masks.withColumn("kind", F.lit(1)))
 
@@ -354,7 +352,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
             gone.append(n)
             if with_text:
                 texts.append(data.decode() if n else text)
-        release()
         out = {"doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(edge), pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(left, pa.string())}
         if with_text:
             out["text"] = pa.array(texts, pa.string())
@@ -363,7 +360,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
     for i, f in enumerate(kept):
         schema.add(f"kept_{i}", f.dataType)
-    done = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(finish, schema)
+    done = rows.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda d, a: released(finish, d, a), schema)
     return done.select(*done.columns[: 4 + with_text], *[F.col(f"kept_{i}").alias(f.name) for i, f in enumerate(kept)])
 
 

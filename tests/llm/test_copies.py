@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
 
-from lacuna.llm import decontaminate, phrases, simhash, substrings
+from lacuna.llm import common, decontaminate, phrases, simhash, substrings
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -367,3 +369,42 @@ def test_decontamination_by_broadcast_and_shuffle(spark, monkeypatch):
     # Every seed of an item found whole is a hit.
     hits = {r[0]: r[-1] for r in paths[0]}
     assert all(hits[k] >= 2 * (len(texts[k % 5]) - decontaminate.SPAN + 1) for k in range(10))
+
+
+def test_traversal_memory_is_bounded():
+    """Families of near copies in many groups; before, 48 MB for these leaves."""
+    rng = np.random.default_rng(1)
+    bits = lambda n: rng.integers(0, 2**63, (n, 4), dtype=np.int64).view(np.uint64)
+    leaves, groups = 20_000, 67
+    family = np.arange(leaves) % (4 * groups)
+    values, group = bits(4 * groups)[family] ^ (bits(leaves) & bits(leaves) & bits(leaves)), family // 4
+    order = np.lexsort((*values.T[::-1], group))
+    tracemalloc.start()
+    found = sum(len(a) for a, _, _ in simhash.traverse(group[order], values[order], np.arange(leaves), 0, 72))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > leaves
+    assert peak < 24e6
+
+
+def test_memory_is_released_after_a_group_is_gone(monkeypatch):
+    """Variables of the function must not live when its memory is given back."""
+    left = []
+
+    def run(n):
+        own = np.zeros(n)
+        left.append(weakref.ref(own))
+        return n
+
+    monkeypatch.setattr(common, "release", lambda: left.append(left[0]() is None))
+    assert common.released(run, 5) == 5
+    assert left[1:] == [True]
+
+
+def test_sets_are_compared_in_bounded_portions():
+    size = np.array([5, 3, 9, 1, 1, 12, 2])
+    parts = simhash.portions(np.array([6, 0, 1, 2, 3, 5]), size, 8)
+    assert np.concatenate(parts).tolist() == [6, 0, 1, 2, 3, 5]
+    assert max(size[p[1:]].sum() for p in parts) < 8 and min(map(len, parts)) > 0
+    own = [np.array(x, np.uint32) for x in ([1, 2, 9], [2, 9, 11], [3], [1, 2, 9])]
+    assert simhash.in_common(own, 0, np.array([1, 2, 3])).tolist() == [2, 0, 3]
