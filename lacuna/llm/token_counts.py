@@ -73,7 +73,7 @@ def fields(data: bytes):
 class Counter:
     """Counts tokens under one vocabulary."""
 
-    def __init__(self, model: bytes, cache: int = 16 << 20):
+    def __init__(self, model: bytes, cache: int = 64 << 20):
         scored, norm = [], {}
         for number, value in fields(model):
             if number == PIECES:

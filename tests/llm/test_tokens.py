@@ -1,6 +1,7 @@
 """Token counts and BPE against the libraries they follow."""
 
 import hashlib
+import itertools
 import struct
 
 import public_tokenizers
@@ -83,3 +84,15 @@ def test_digests_of_odd_texts(odd, none):
         want.add((r.doc_id, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(TOKENIZER.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert {tuple(r) for r in bpe.encode_digests(odd, WORDS).collect()} == want
     assert bpe.encode_digests(none, WORDS).collect() == [] and token_counts.count_tokens(none, PIECES).collect() == []
+
+
+def test_a_worker_merges_a_large_vocabulary_once():
+    counter, calls = token_counts.Counter(open(PIECES, "rb").read()), []
+    merge = counter.merged
+    counter.merged = lambda part: calls.append(part) or merge(part)
+    syllables = ["er", "on", "th", "ing", "ble", "sh", "ou", "ly", "st", "ea", "re", "an", "ti", "es", "wh", "nd", "or", "at", "he", "ed"]
+    text = " ".join(map("".join, itertools.product(syllables, syllables, syllables, syllables[:18])))
+    first = counter.count(text)
+    assert first == len(LIBRARY.encode(text)) and len(calls) > 100_000
+    calls.clear()
+    assert counter.count(text) == first and len(calls) < 1000
