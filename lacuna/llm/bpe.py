@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from .common import TwoAgeCache, map_batches, slices
 
 LONG_WORD = 256
+#: Bytes of a worker's cache, of which there may be two; digests leave more room than ids and texts beside other stages.
+CACHE, CACHE_OF_DIGESTS = 24 << 20, 64 << 20
 NEVER = 1 << 60
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
@@ -80,7 +82,7 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encodes and decodes as the tokenizer file says."""
 
-    def __init__(self, config: str, cache: int = 24 << 20):
+    def __init__(self, config: str, cache: int = CACHE):
         spec = json.loads(config)
         model = spec["model"]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -104,20 +106,21 @@ class Codec:
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         known = lambda kind: f"[{kind}--[{any_of(UNKNOWN)}]]"
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        if "[^\\s\\p{L}\\p{N}]" not in pattern:
+        if "[^\\s\\p{L}\\p{N}]" not in pattern or "[\\p{L}]+" not in pattern:
             raise ValueError("not the expected expression for words")
         #: The same for texts with signs of other Unicode versions.
         self.rare_word = regex.compile(pattern.replace("[^\\s\\p{L}\\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{any_of(UNKNOWN)}]]").replace("[\\p{L}]", known("\\p{L}")).replace("[\\p{N}]", known("\\p{N}")), regex.V1)
         self.marks = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         #: What stands between white space -> its packed ids
-        self.chunks = TwoAgeCache(self.joined, cache)
+        self.chunks = TwoAgeCache(self.encode, cache)
         #: The same of the words in the chunks at hand
         self.words: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Words of one stretch without special tokens."""
         if text.isascii():
-            return self.word.findall(text.lower())
+            # Letters alone are one word.
+            return [text.lower()] if text.isalpha() else self.word.findall(text.lower())
         if not RARE.search(text):
             return self.word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         text = "".join(unicodedata.normalize("NFC", x) for x in BETWEEN.split(text))
@@ -140,13 +143,12 @@ class Codec:
             for at in range(0, len(members), 1 << 15):
                 part = members[at : at + (1 << 15)]
                 for i, ids in zip(part, self.merge_rows([data[i] for i in part], width)):
-                    cache[short[i]] = self.entry(ids)
+                    cache[short[i]] = ids
 
-    def joined(self, chunk: str) -> bytes:
-        if chunk in self.special:
-            return self.entry([self.special[chunk]])
+    def joined(self, words: list[str]) -> bytes:
+        """The packed ids of a chunk's words."""
         look = self.words.get
-        return b"".join([look(w) or self.packed(w) for w in self.pieces(chunk)])
+        return b"".join([look(w) or self.packed(w) for w in words])
 
     def entry(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -156,7 +158,7 @@ class Codec:
             return self.entry([self.special[word]])
         raw = word.encode()
         if len(raw) <= LONG_WORD:
-            return self.entry(self.merge_rows([raw], max(8, len(raw)))[0])
+            return self.merge_rows([raw], max(8, len(raw)))[0]
         return self.entry(self.merge_long([*self.inner[[*raw[:-1]]].tolist(), int(self.final[raw[-1]])]))
 
     def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -165,8 +167,8 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NEVER)
 
-    def merge_rows(self, words: list[bytes], width: int) -> list[list[int]]:
-        """Each row of a matrix is a word's contiguous array; every step takes each row's least rank."""
+    def merge_rows(self, words: list[bytes], width: int) -> list[bytes]:
+        """Each row of a matrix is a word's contiguous array; every step takes each row's least rank. Gives packed ids."""
         n = len(words)
         sizes = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
@@ -176,7 +178,7 @@ class Codec:
         ranks[:, :-1] = self.look(ids[:, :-1], ids[:, 1:])
         column = np.arange(width)
         ranks[column >= (sizes - 1)[:, None]] = NEVER
-        out: list[list[int]] = [[]] * n
+        out = [b""] * n
         names = np.arange(n)
         while len(names):
             rows = np.arange(len(names))
@@ -184,8 +186,10 @@ class Codec:
             least = ranks[rows, spot]
             done = least >= NEVER
             if done.any():
-                for name, row, size in zip(names[done].tolist(), ids[done].tolist(), sizes[done].tolist()):
-                    out[name] = row[:size]
+                # Of all rows at once, then cut: each has 4 * width bytes.
+                flat = ids[done].astype("<u4").tobytes()
+                for at, name, size in zip(range(0, len(flat), 4 * width), names[done].tolist(), sizes[done].tolist()):
+                    out[name] = flat[at : at + 4 * size]
                 keep = ~done
                 names, ids, ranks, sizes, spot, least = names[keep], ids[keep], ranks[keep], sizes[keep], spot[keep], least[keep]
                 rows = np.arange(len(names))
@@ -193,8 +197,8 @@ class Codec:
                     break
             ids[rows, spot] = least & 0xFFFFF
             # Delete the boundary after the part, and the rank across it.
-            ids = np.take_along_axis(ids, np.minimum(column + (column > spot[:, None]), width - 1), 1)
-            ranks = np.take_along_axis(ranks, np.minimum(column + (column >= spot[:, None]), width - 1), 1)
+            np.copyto(ids[:, :-1], ids[:, 1:], where=column[:-1] > spot[:, None])
+            np.copyto(ranks[:, :-1], ranks[:, 1:], where=column[:-1] >= spot[:, None])
             sizes = sizes - 1
             has = spot < sizes - 1
             ranks[rows, spot] = NEVER
@@ -234,15 +238,20 @@ class Codec:
 
     def encode_many(self, texts: Sequence[str]) -> Iterable[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit numbers."""
-        chunks, special = self.chunks, self.special
+        chunks, special, young = self.chunks, self.special, self.chunks.get
         for start, end in slices(texts):
             split = [self.split(x) for x in texts[start:end]]
             # All that the slice needs is held until its end, whatever the cache drops meanwhile.
-            held = {c: x for c in {*chain.from_iterable(split)} if (x := chunks.find(c)) is not None}
-            new = [c for c in {*chain.from_iterable(split)} if c not in held]
-            self.prepare(w for c in new if c not in special for w in self.pieces(c))
-            for c in new:
-                held[c] = self.joined(c)
+            held = dict.fromkeys(chain.from_iterable(split))
+            new: dict[str, list[str]] = {}
+            for c in held:
+                if (x := young(c) or chunks.find(c)) is None:
+                    new[c] = [c] if c in special else self.pieces(c)
+                else:
+                    held[c] = x
+            self.prepare(chain.from_iterable(new.values()))
+            for c, words in new.items():
+                held[c] = self.joined(words)
                 chunks.put(c, held[c])
             for own in split:
                 yield b"".join(map(held.__getitem__, own))
@@ -257,8 +266,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(config: str) -> Codec:
-    return Codec(config)
+def codec(config: str, cache: int = CACHE) -> Codec:
+    return Codec(config, cache)
 
 
 def _config(docs: DataFrame, path: str):
@@ -283,7 +292,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     config = _config(docs, tokenizer_path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        one = codec(config.value)
+        one = codec(config.value, CACHE_OF_DIGESTS)
         sizes, ids, texts = [], [], []
         for packed in one.encode_many([x or "" for x in batch.column(1).to_pylist()]):
             sizes.append(len(packed) // 4)

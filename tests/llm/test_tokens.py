@@ -96,3 +96,12 @@ def test_a_worker_merges_a_large_vocabulary_once():
     assert first == len(LIBRARY.encode(text)) and len(calls) > 100_000
     calls.clear()
     assert counter.count(text) == first and len(calls) < 1000
+
+
+def test_each_new_chunk_is_cut_into_words_once():
+    codec, calls = bpe.Codec(open(WORDS, encoding="utf-8").read()), []
+    cut = codec.pieces
+    codec.pieces = lambda chunk: calls.append(chunk) or cut(chunk)
+    texts = ["the other's (cats), 42nd Größe!", "the CATS it's <|endoftext|>the"]
+    assert [*codec.encode_many(texts)] == [packed(TOKENIZER.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert sorted(calls) == sorted({"the", "other's", "(cats),", "42nd", "Größe!", "CATS", "it's"})
